@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, sharding
+from . import decontam, mixing, quality, sharding
 from .common import load
 
 SHARDS = 24
@@ -42,10 +42,17 @@ def op3_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op4_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    out = decontam.decontaminate(docs, load(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("hit_items").cast("long").alias("n_items"), F.sha2(F.encode(F.array_join("hit_items", ","), "UTF-8"), 256).alias("items_sha256"), "contaminated")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hypergeometric_sharding": op1_hypergeometric_sharding,
     "op2_water_filling_mix": op2_water_filling_mix,
     "op3_additive_quality": op3_additive_quality,
+    "op4_positional_decontamination": op4_positional_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {}
