@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, htmltext, linededup, mixing, quality, sharding
+from . import decontam, htmltext, jaccard, linededup, mixing, quality, sharding
 from .common import load
 
 SHARDS = 24
@@ -57,6 +57,10 @@ def op6_levelled_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op7_multi_order_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(load(spark, sf_dir, "documents").select("doc_id", "text"), k=4, num=85, den=100)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hypergeometric_sharding": op1_hypergeometric_sharding,
     "op2_water_filling_mix": op2_water_filling_mix,
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_positional_decontamination": op4_positional_decontamination,
     "op5_tree_scored_html": op5_tree_scored_html,
     "op6_levelled_line_dedup": op6_levelled_line_dedup,
+    "op7_multi_order_jaccard": op7_multi_order_jaccard,
 }
 
 ORACLE_SQL: dict[str, str] = {
