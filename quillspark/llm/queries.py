@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, htmltext, jaccard, linededup, mixing, quality, sharding
+from . import decontam, htmltext, jaccard, linededup, mixing, nearvec, quality, sharding, substrings, warczip
 from .common import load
 
 SHARDS = 24
@@ -61,6 +61,19 @@ def op7_multi_order_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(load(spark, sf_dir, "documents").select("doc_id", "text"), k=4, num=85, den=100)
 
 
+def op8_zip_packaged_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warczip.archive_and_read(load(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("url")
+
+
+def op9_spherical_cap_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearvec.near_duplicates(load(spark, sf_dir, "embeddings").select("vec_id", "embedding"), rho=0.95, seed=17)
+
+
+def op10_induced_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.dedup_substrings(load(spark, sf_dir, "documents").select("doc_id", "text"), length=200)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hypergeometric_sharding": op1_hypergeometric_sharding,
     "op2_water_filling_mix": op2_water_filling_mix,
@@ -69,6 +82,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_tree_scored_html": op5_tree_scored_html,
     "op6_levelled_line_dedup": op6_levelled_line_dedup,
     "op7_multi_order_jaccard": op7_multi_order_jaccard,
+    "op8_zip_packaged_warc": op8_zip_packaged_warc,
+    "op9_spherical_cap_near_dedup": op9_spherical_cap_near_dedup,
+    "op10_induced_suffix_dedup": op10_induced_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
