@@ -30,6 +30,7 @@ from .textnp import chunks, flat, mixed, prefix_hash, span_hash
 
 ANCHOR = 32
 PIECES = 40_000
+SALTS = 16
 
 
 def _anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -188,7 +189,10 @@ def repeated_spans(texts: DataFrame, length: int, rows: int) -> DataFrame:
     sharded = unique.join(kinds, ["anchor", "piece"]).withColumn("shard", F.pmod(seeded(5, "anchor"), F.lit(shards)).cast("int"))
     found = sharded.groupBy("shard").applyInArrow(_sorted(length), "piece long, from long, to long")
     found = found.groupBy("piece").agg(F.collect_list(F.struct("from", "to")).alias("parts"))
-    spans = spots.join(found, "piece").select("k", F.explode(F.transform("parts", lambda p: F.struct((F.col("at") + p["from"]).alias("a"), (F.col("at") + p["to"]).alias("b")))).alias("span"))
+    # A piece of a passage that many texts hold stands in many rows: its row of `found` is salted.
+    found = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    spots = spots.withColumn("salt", F.pmod(seeded(7, "k", "at"), F.lit(SALTS)).cast("int"))
+    spans = spots.join(found, ["piece", "salt"]).select("k", F.explode(F.transform("parts", lambda p: F.struct((F.col("at") + p["from"]).alias("a"), (F.col("at") + p["to"]).alias("b")))).alias("span"))
     return spans.groupBy("k").agg(F.collect_set("span").alias("spans"))
 
 
