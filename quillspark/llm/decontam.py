@@ -8,8 +8,9 @@ and nothing is lost, since an occurrence of a window holds its rarest terms.
 Documents are keyed by 128 bits of their text, so that copies share postings and verdicts, and rows with null or
 repeated ids keep their own verdict. Only DataFrame functions are used.
 
-Scale: postings are kept only for the rarest terms of windows. The item side (vocabulary, anchors, verified
-candidates) is counted and broadcast only up to BROADCAST_ROWS rows; beyond that the same joins run as shuffles.
+Scale: postings are kept only for the rarest terms of windows. The item side (vocabulary, anchors) is counted and
+broadcast only up to BROADCAST_ROWS rows, candidates only up to BROADCAST_WINDOWS windows; beyond that the same joins
+run as shuffles.
 Terms frequent in the corpus are rarely anchors; where an item has no other, its posting list is long, but joins
 the broadcast item side in place, without gathering the list in one task.
 """
@@ -23,6 +24,8 @@ from .common import cut, lower_ascii, seeded
 
 #: About 100 bytes a row at most: 20 MB.
 BROADCAST_ROWS = 200_000
+#: A window of 13 words takes about 400 bytes: 10 MB.
+BROADCAST_WINDOWS = 25_000
 ANCHORS = 2
 
 
@@ -132,8 +135,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = 13, numerator: int
     found = find_windows(keyed(), bare, n)
     per_text = found.groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "terms", F.col("item_id.item_id").alias("item_id"))).alias("found"))
     per_text = cut(per_text, "decontam-candidates")
-    texts = per_text.count()
-    rows = keyed(*own).join(small(per_text, texts), ["k1", "k2"], "left")
+    held = per_text.agg(F.coalesce(F.sum(F.size("found")), F.lit(0))).first()[0]
+    rows = keyed(*own).join(F.broadcast(per_text) if held <= BROADCAST_WINDOWS else per_text, ["k1", "k2"], "left")
     true = F.filter(F.coalesce("found", F.array()), lambda f: F.slice("words", f["first"] + 1, F.size(f["terms"])) == f["terms"])
     rows = rows.withColumn("__true", true)
     spans = F.array_sort(F.transform("__true", lambda f: F.struct(f["first"].alias("a"), (f["first"] + F.size(f["terms"])).alias("b"))))
