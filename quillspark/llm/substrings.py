@@ -29,7 +29,7 @@ from .induced import suffixes
 from .textnp import chunks, flat, mixed, prefix_hash, span_hash
 
 ANCHOR = 32
-PIECES = 40_000
+PIECES = 16_000
 SALTS = 16
 
 
