@@ -216,7 +216,7 @@ def read_packages(packages: DataFrame, folder_uri: str, with_payload: bool = Tru
                     at += n
                 yield pa.RecordBatch.from_pylist(rows, pa.schema(fields))
 
-    blocks = packages.select("path").mapInArrow(ranges, "path string, start long, lengths array<long>").repartition("path", "start")
+    blocks = packages.select("path").mapInArrow(ranges, "path string, start long, lengths array<long>").repartition(int(packages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path", "start")
     kinds = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
     return blocks.mapInArrow(records, ", ".join(f"{n} {kinds[k]}" for n, k in fields))
 
