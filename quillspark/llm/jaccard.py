@@ -219,7 +219,7 @@ def linked(pairs: DataFrame, profile: DataFrame, num: int, den: int) -> DataFram
 def class_components(docs: DataFrame, sizes: DataFrame, k: int, num: int, den: int, buckets: int) -> DataFrame:
     """(node, component) of the classes that have a link to another class."""
     profile = cut(profiles(docs, sizes, k, num, den, buckets), "jaccard-profiles")
-    post = cut(profile.select("set", "n", "shared", F.explode("prefix0").alias("token")), "jaccard-postings")
+    post = cut(profile.select("set", "n", "shared", F.posexplode("prefix0").alias("at", "token")), "jaccard-postings")
     # The hub of a list: the class with the least part of unique shingles, then the least key.
     lists = post.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct((F.col("n") - F.col("shared")).alias("unique"), "set", "n", "shared")).alias("hub")).where("size > 1")
     fits = lambda x, y: F.least(x["shared"], y["shared"]) * (num + den) >= (x["n"] + y["n"]) * num
@@ -230,10 +230,14 @@ def class_components(docs: DataFrame, sizes: DataFrame, k: int, num: int, den: i
     # Every pair of a list that is not connected yet; a class outside its hub's component meets all others of the list.
     marked = post.join(first.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
     span = marked.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct((F.col("n") - F.col("shared")).alias("unique"), "set", "component"))["component"].alias("main")).where("low <> high")
-    apart = cut(marked.join(span.select("token", "main"), "token"), "jaccard-apart")
+    apart = marked.join(span.select("token", "main"), "token").join(profile.select("set", "prefix0"), "set")
+    apart = cut(apart, "jaccard-apart")
     x, y = apart.where("component <> main").alias("x"), apart.alias("y")
     meets = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.set") < F.col("y.set")))
-    rest = x.join(y, (F.col("x.token") == F.col("y.token")) & meets & fits({c: F.col(f"x.{c}") for c in ("n", "shared")}, {c: F.col(f"y.{c}") for c in ("n", "shared")}))
+    # A pair is made at its first common token only; shared shingles before it are not common, which tightens the bound.
+    left = lambda s: {"n": F.col(f"{s}.n"), "shared": F.col(f"{s}.shared") - F.col(f"{s}.at")}
+    first_common = F.get(F.array_intersect("x.prefix0", "y.prefix0"), F.lit(0)) == F.col("x.token")
+    rest = x.join(y, (F.col("x.token") == F.col("y.token")) & meets & fits(left("x"), left("y")) & first_common)
     rest = rest.select(F.least("x.set", "y.set").alias("a"), F.greatest("x.set", "y.set").alias("b")).distinct()
     more = cut(linked(rest, profile, num, den), "jaccard-edges")
     if more.isEmpty():
