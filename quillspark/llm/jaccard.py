@@ -256,7 +256,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
     """
     ship(docs.sparkSession)
     sizes = cut(set_keys(docs, k), "jaccard-sizes")
-    buckets = int(min(4096, max(16, sizes.count() // 2000)))
+    buckets = int(min(65_000, max(64, sizes.count() // 16_000)))
     comps = class_components(docs, sizes.select("set", "n"), k, num, den, buckets)
     rows = sizes.join(comps.withColumnRenamed("node", "set"), "set", "left").withColumn("c", F.coalesce("component", "set"))
     ids = rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("component_id"))
