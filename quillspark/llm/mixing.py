@@ -11,8 +11,9 @@ as many as bring the words taken nearest to the target, once more. The order is
 agree. A threshold a source is found in two steps, so that no source is sorted in one task: sums by the first three
 hex digits of the md5 show the one of 4096 cells that the threshold falls in, and only that cell's rows are sorted.
 
-Scale: only ids and sizes are moved. The per-source table has one row a source and is joined with AQE's help where
-a source is hot; sources are taken to be named corpora (up to some hundred thousand), whose table one task can sort.
+Scale: only ids and sizes are moved. The per-source table has one row a source; it is measured and broadcast up to
+BROADCAST_BYTES, and beyond that joined by source and salt, so that a hot source's rows never meet in one task.
+Sources are taken to be named corpora (up to some hundred thousand), whose table one task can sort.
 """
 
 from __future__ import annotations
@@ -20,8 +21,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, seeded
 
+#: Names of sources, and ROW_BYTES for the other columns of each.
+BROADCAST_BYTES, ROW_BYTES = 20_000_000, 100
+SALTS = 64
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -54,6 +58,17 @@ def water_fill(totals: DataFrame, weights: list[int], share: float, max_epochs:
     return w.select("source", "source_size", "weight", target.alias("target"))
 
 
+def with_targets(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    """rows (source, __key, ...) with the columns of their source's row of targets (t_source, ...)."""
+    held = targets.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("t_source"), F.lit(0)) + ROW_BYTES), F.lit(0))).first()[0]
+    same = F.col("source").eqNullSafe(F.col("t_source"))
+    if held <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(targets), same).drop("t_source")
+    salted = targets.withColumn("t_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.withColumn("__salt", F.pmod(seeded(5, "__key"), F.lit(SALTS)).cast("int"))
+    return dealt.join(salted.hint("shuffle_hash"), (F.col("__salt") == F.col("t_salt")) & same).drop("t_source", "t_salt", "__salt")
+
+
 def mix(sizes: DataFrame, weights: list[int], share: float = 1.5, max_epochs: int = 2, seed: int = 0) -> DataFrame:
     """(id, source, size) to (id, source, size, source_size, target, times): how often each row is taken.
 
@@ -76,7 +91,7 @@ def mix(sizes: DataFrame, weights: list[int], share: float = 1.5, max_epochs: in
     crossing = ends.join(t, same(F.col("source"), F.col("t_source"))).where(F.col("end") > F.col("extra"))
     crossing = crossing.groupBy("t_source").agg(F.min(F.struct("cell", (F.col("end") - F.col("size")).alias("start"))).alias("first"))
     t = t.join(crossing.withColumnRenamed("t_source", "c_source"), same(F.col("t_source"), F.col("c_source")), "left").drop("c_source")
-    marked = rows.join(t, same(F.col("source"), F.col("t_source"))).drop("t_source")
+    marked = with_targets(rows, cut(t, "mix-targets"))
     edge = F.col("first.cell")
     order = Window.partitionBy("source").orderBy("__key", "size").rowsBetween(Window.unboundedPreceding, -1)
     inside = marked.where(cell == edge).withColumn("__before", F.col("first.start") + F.coalesce(F.sum("size").over(order), F.lit(0)))

@@ -101,6 +101,13 @@ def test_mixing(spark):
     assert [w["n"] for w in words] == [0, 0, 3, 2]
 
 
+def test_mixing_beyond_the_broadcast(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, None if i % 9 == 0 else "a" if i % 3 else "b", i % 50) for i in range(400)] + [(None, "a", 3)] * 2, "id long, source string, size long")
+    want = sorted(map(str, mixing.mix(rows, [3, 1, 2], seed=4).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", 0)
+    assert sorted(map(str, mixing.mix(rows, [3, 1, 2], seed=4).collect())) == want
+
+
 def test_quality(spark):
     r = random.Random(3)
     rows = [(i, text(60) if i % 4 else "!! ".join(text(40).upper().split())) for i in range(800)] + [(900, None), (901, ""), (None, "x y"), (902, "\n")]
