@@ -259,6 +259,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
     buckets = int(min(65_000, max(64, sizes.count() // 16_000)))
     comps = class_components(docs, sizes.select("set", "n"), k, num, den, buckets)
     rows = sizes.join(comps.withColumnRenamed("node", "set"), "set", "left").withColumn("c", F.coalesce("component", "set"))
-    ids = rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("component_id"))
+    # Written first, so that the join deals both sides anew and AQE can split a component that holds many rows.
+    ids = cut(rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("component_id")), "jaccard-ids")
     out = rows.where("n > 0").join(ids, "c").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return out.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
