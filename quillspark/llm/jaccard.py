@@ -222,6 +222,8 @@ def class_components(docs: DataFrame, sizes: DataFrame, k: int, num: int, den: i
     post = cut(profile.select("set", "n", "shared", F.posexplode("prefix0").alias("at", "token")), "jaccard-postings")
     # The hub of a list: the class with the least part of unique shingles, then the least key.
     lists = post.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct((F.col("n") - F.col("shared")).alias("unique"), "set", "n", "shared")).alias("hub")).where("size > 1")
+    # Lists and spans are written before they meet the postings again, so that AQE can split a list of many classes.
+    lists = cut(lists, "jaccard-lists")
     fits = lambda x, y: F.least(x["shared"], y["shared"]) * (num + den) >= (x["n"] + y["n"]) * num
     star = post.join(lists, "token").where((F.col("set") != F.col("hub.set")) & fits({c: F.col(c) for c in ("n", "shared")}, {c: F.col(f"hub.{c}") for c in ("n", "shared")}))
     best = star.groupBy(F.col("set").alias("a"), F.col("hub.set").alias("b")).agg(F.count(F.lit(1)).alias("lists")).groupBy("a").agg(F.max_by("b", F.struct("lists", "b")).alias("b"))
@@ -230,7 +232,8 @@ def class_components(docs: DataFrame, sizes: DataFrame, k: int, num: int, den: i
     # Every pair of a list that is not connected yet; a class outside its hub's component meets all others of the list.
     marked = post.join(first.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
     span = marked.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct((F.col("n") - F.col("shared")).alias("unique"), "set", "component"))["component"].alias("main")).where("low <> high")
-    apart = marked.join(span.select("token", "main"), "token").join(profile.select("set", "prefix0"), "set")
+    span = cut(span.select("token", "main"), "jaccard-spans")
+    apart = marked.join(span, "token").join(profile.select("set", "prefix0"), "set")
     apart = cut(apart, "jaccard-apart")
     x, y = apart.where("component <> main").alias("x"), apart.alias("y")
     meets = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.set") < F.col("y.set")))
