@@ -7,8 +7,9 @@ that the best of the remaining blocks cannot lift over the threshold goes. Vecto
 cosine in double precision.
 
 The threshold is set by the number of vectors n, so that about OCCUPANCY of n unrelated vectors exceed a filter, and a
-code has so many filters that a vector exceeds LIST on average. Codes are repeated with new rotations until two
-vectors at the threshold cosine miss each other with probability under MISS.
+code would have so many filters that a vector exceeds LIST on average if projections were normal (a product code's
+tails are lighter, and lists get shorter as n grows). Codes are repeated with new rotations until two vectors at the
+threshold cosine miss each other with probability under MISS; where that takes many codes, OCCUPANCY is raised.
 Recall is measured against brute force in the tests.
 
 Equal vectors are one class. Filters with one member go before vectors are moved. A large filter is cut into blocks
@@ -32,6 +33,7 @@ from .common import cut, seeded
 from .graph import components
 
 OCCUPANCY, LIST, MISS, BLOCK = 0.1, 20, 5e-3, 1024
+CODES, MOST, RECALL, PAIRS = 48, 1000, 0.9, 3000
 
 
 class Code:
@@ -73,24 +75,50 @@ class Filters:
     """As many codes for n vectors of `dim` components as links at cosine rho need.
 
     A random rotation makes all pairs of one cosine alike, so the share of pairs that meet in a code is taken from
-    simulated pairs, and codes are added until a pair misses all of them with probability under MISS.
+    simulated pairs (its lower bound of two standard errors), and codes are added until a pair misses all of them with
+    probability under MISS. Where that takes more than CODES codes, filters that more vectors exceed are tried. What
+    the codes find together is then taken from new pairs: under RECALL is an error.
     """
 
     def __init__(self, n: int, dim: int, rho: float, seed: int) -> None:
-        share = min(0.01, OCCUPANCY / max(1, n))
         rng = np.random.default_rng(seed)
-        self.codes = [Code(share, dim, rng)]
-        x, y = _unit(rng.standard_normal((600, dim))), _unit(rng.standard_normal((600, dim)))
-        y = rho * x + math.sqrt(1 - rho * rho) * _unit(y - (y * x).sum(1, keepdims=True) * x) if dim > 1 else x
-        met = np.mean([bool(np.intersect1d(a, b).size) for a, b in zip(self.codes[0].decode(x), self.codes[0].decode(y), strict=True)])
-        count = math.ceil(math.log(MISS) / math.log(1 - min(0.99, max(0.05, met))))
-        self.codes += [Code(share, dim, rng) for _ in range(count - 1)]
+        best, occupancy = None, OCCUPANCY
+        while True:
+            share = min(0.01, occupancy / max(1, n))
+            code = Code(share, dim, rng)
+            count = self._needed(code, dim, rho, rng)
+            if best is None or count < best[0]:
+                best = (count, share, code)
+            if best[0] <= CODES or share == 0.01:
+                break
+            occupancy *= 4
+        count, share, code = best
+        if count > MOST:
+            raise ValueError(f"links at cosine {rho} among {n} vectors of {dim} components would take {count} codes")
+        self.codes = [code, *(Code(share, dim, rng) for _ in range(int(count) - 1))]
+        x, y = _pairs(400, dim, rho, rng)
+        self.recall = float(np.mean([bool(np.intersect1d(a, b).size) for a, b in zip(self.decode(x), self.decode(y), strict=True)]))
+        if self.recall < RECALL:
+            raise ValueError(f"{len(self.codes)} codes find {self.recall:.3f} of the links at cosine {rho} among {n} vectors of {dim} components")
+
+    @staticmethod
+    def _needed(code: Code, dim: int, rho: float, rng: np.random.Generator) -> float:
+        x, y = _pairs(PAIRS, dim, rho, rng)
+        met = np.mean([bool(np.intersect1d(a, b).size) for a, b in zip(code.decode(x), code.decode(y), strict=True)])
+        low = min(0.99, met - 2 * math.sqrt(met * (1 - met) / PAIRS))
+        return math.ceil(math.log(MISS) / math.log1p(-low)) if low > 0 else math.inf
 
     def decode(self, v: np.ndarray) -> list[np.ndarray]:
         found = [[np.int64(i * c.b**c.m) + x for x in c.decode(v)] for i, c in enumerate(self.codes)]
         return [np.sort(np.concatenate(x)) for x in zip(*found, strict=True)]
 
 
+def _pairs(count: int, dim: int, rho: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Random unit vectors x and y, each pair at cosine rho."""
+    x, y = _unit(rng.standard_normal((count, dim))), _unit(rng.standard_normal((count, dim)))
+    return x, rho * x + math.sqrt(1 - rho * rho) * _unit(y - (y * x).sum(1, keepdims=True) * x) if dim > 1 else x
+
+
 def _matrix(col: pa.Array) -> np.ndarray:
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
