@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 from statistics import NormalDist
 
 import numpy as np
@@ -82,16 +83,16 @@ class Filters:
 
     def __init__(self, n: int, dim: int, rho: float, seed: int) -> None:
         rng = np.random.default_rng(seed)
-        best, occupancy = None, OCCUPANCY
+        best, share = None, min(0.01, OCCUPANCY / max(1, n))
         while True:
-            share = min(0.01, occupancy / max(1, n))
             code = Code(share, dim, rng)
             count = self._needed(code, dim, rho, rng)
             if best is None or count < best[0]:
                 best = (count, share, code)
-            if best[0] <= CODES or share == 0.01:
+            # Vectors of few components never exceed the threshold of a small share.
+            if best[0] <= CODES or share == 0.5:
                 break
-            occupancy *= 4
+            share = min(0.5, 4 * share)
         count, share, code = best
         if count > MOST:
             raise ValueError(f"links at cosine {rho} among {n} vectors of {dim} components would take {count} codes")
@@ -196,11 +197,37 @@ def _compare(rho: float):  # noqa: ANN202
     return kernel
 
 
+def _links(classes: DataFrame, n: int, dim: int, rho: float, seed: int) -> DataFrame:
+    """(k, links, root) of n classes (k, v, copies) whose vectors have `dim` components."""
+    code = Filters(n, dim, rho, seed)
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                found = code.decode(_unit(_matrix(part.column("v"))))
+                lengths = [len(x) for x in found]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(part.column("k")), lengths)), pa.array(np.concatenate(found))], ["k", "f"])
+
+    member = cut(classes.select("k", "v").mapInArrow(decode, "k long, f long"), "near-filters")
+    # Ids of filters are spread by a hash, since codewords that many vectors exceed are neighbours.
+    size = member.groupBy("f").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = member.join(size, "f")
+    lists = shared.groupBy("k").agg(F.collect_list("f").alias("filters"))
+    full = shared.join(classes, "k").join(lists, "k").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    full = full.withColumn("own", F.pmod(seeded(seed + 1, "k", "f"), F.col("blocks")).cast("int"))
+    full = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    full = full.select("f", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "k", "copies", "v", "filters")
+    tasks = max(16, min(100_000, n * 8 // 4000))
+    groups = full.withColumn("g", F.pmod(seeded(seed + 2, "f", "i", "j"), F.lit(tasks)).cast("int"))
+    return cut(groups.groupBy("g").applyInArrow(_compare(rho), "k long, links long, root long"), "near-links")
+
+
 def near_duplicates(vectors: DataFrame, rho: float = 0.95, seed: int = 0) -> DataFrame:
     """(vec_id, n_links long, component_id, kept boolean) for each row of vectors (vec_id, embedding).
 
     Two rows are linked if the cosine of their vectors is at least rho. Vectors that are null, empty, zero or hold null
-    or non-finite components link with nothing, nor do those of another length than the longest. Equal vectors are
+    or non-finite components link with nothing; vectors of different lengths are not compared. Equal vectors are
     linked. component_id is the smallest vec_id that links reach; null ids are passed over, and a row whose component
     has no other id has null. kept: vec_id is component_id (null ids: false). Repeated rows are vectors of their own.
     An empty table gives an empty result.
@@ -211,33 +238,13 @@ def near_duplicates(vectors: DataFrame, rho: float = 0.95, seed: int = 0) -> Dat
     good = F.col("embedding").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = vectors.select("vec_id", "embedding", v.alias("v"))
     rows = rows.withColumn("good", F.coalesce(good, F.lit(False)))
-    dim = rows.where("good").agg(F.max(F.size("v"))).first()[0]
-    rows = rows.withColumn("k", F.when(F.col("good") & (F.size("v") == F.lit(dim)), seeded(seed, "v")))
-    classes = cut(rows.where("k is not null").groupBy("k").agg(F.first("embedding").alias("v"), F.count(F.lit(1)).alias("copies")), "near-classes")
-    n = classes.count()
-    if n:
-        code = Filters(n, dim, rho, seed)
-
-        def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for at in range(0, batch.num_rows, 512):
-                    part = batch.slice(at, 512)
-                    found = code.decode(_unit(_matrix(part.column("v"))))
-                    lengths = [len(x) for x in found]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(part.column("k")), lengths)), pa.array(np.concatenate(found))], ["k", "f"])
-
-        member = cut(classes.select("k", "v").mapInArrow(decode, "k long, f long"), "near-filters")
-        # Ids of filters are spread by a hash, since codewords that many vectors exceed are neighbours.
-        size = member.groupBy("f").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        shared = member.join(size, "f")
-        lists = shared.groupBy("k").agg(F.collect_list("f").alias("filters"))
-        full = shared.join(classes, "k").join(lists, "k").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-        full = full.withColumn("own", F.pmod(seeded(seed + 1, "k", "f"), F.col("blocks")).cast("int"))
-        full = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        full = full.select("f", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "k", "copies", "v", "filters")
-        tasks = max(16, min(100_000, n * 8 // 4000))
-        groups = full.withColumn("g", F.pmod(seeded(seed + 2, "f", "i", "j"), F.lit(tasks)).cast("int"))
-        met = cut(groups.groupBy("g").applyInArrow(_compare(rho), "k long, links long, root long"), "near-links")
+    rows = rows.withColumn("k", F.when(F.col("good"), seeded(seed, "v")))
+    classes = cut(rows.where("k is not null").groupBy("k").agg(F.first("embedding").alias("v"), F.count(F.lit(1)).alias("copies")).withColumn("dim", F.size("v")), "near-classes")
+    # A length's vectors are compared with each other; one that stands alone has no partner.
+    dims = {r["dim"]: r["count"] for r in classes.groupBy("dim").count().where("count > 1").orderBy("dim").collect()}
+    found = [_links(classes.where(F.col("dim") == dim), n, dim, rho, seed) for dim, n in dims.items()]
+    if found:
+        met = reduce(DataFrame.unionByName, found)
         comps = components(met.select(F.col("k").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "k")
         links = met.groupBy("k").agg(F.sum("links").alias("links"))
     else:

@@ -22,3 +22,11 @@ def test_missed_links_are_an_error(monkeypatch, name, value):
     monkeypatch.setattr(nearvec, name, value)
     with pytest.raises(ValueError, match="codes"):
         nearvec.Filters(10**4, 64, 0.95, seed=3)
+
+
+def test_vectors_of_other_lengths(spark):
+    base = np.random.default_rng(4).standard_normal((6, 8))
+    rows = [(i, x.tolist()) for i, x in enumerate([*base, *base[:3], 2 * base[0]])] + [(20, [1.0] * 9), (30, [1.0]), (31, [2.0]), (32, [-1.0]), (40, [1.0, 2.0]), (41, [2.0, 4.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in nearvec.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 0.95, seed=2).collect()}
+    want = {0: (2, 0), 6: (2, 0), 9: (2, 0), 1: (1, 1), 7: (1, 1), 2: (1, 2), 8: (1, 2), 30: (1, 30), 31: (1, 30), 40: (1, 40), 41: (1, 40)}
+    assert got == want | {i: (0, i) for i in (3, 4, 5, 20, 32)}
