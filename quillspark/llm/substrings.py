@@ -3,20 +3,24 @@
 Every string of `length` bytes (a window) is dealt to a shard by its anchor, the least hash of the substrings of
 ANCHOR bytes in it (ties: the leftmost). Equal windows have equal anchors, so they meet in one shard. Windows whose
 anchor stands at one place only cannot be repeated and stay at home. The windows of one anchor are a stretch of text, a
-piece. Equal pieces are merged before the shuffle to the shards (they carry how often they stand), which keeps
-a passage that a third of all texts hold from growing a shard. Each shard sorts all suffixes of its pieces by external
-induced sorting; neighbours whose common prefix reaches `length` are repeated windows.
+piece. Equal pieces are merged before the shuffle to the shards (they carry how often they stand). At the borders of a
+passage that many texts hold, pieces take in what each text has around it, and differ: pieces of an anchor with more
+than HOT of them are cut into parts by how far the anchor is from a window's start, WIDTHS places each, and dealt by
+what all windows of a part have in common. Parts that stand alone go; parts that still are too many are cut again, down
+to single windows, which are merged where they are equal. Each shard sorts all suffixes of its pieces by induced
+sorting; neighbours whose common prefix reaches `length` are repeated windows.
 
 Equal texts are one text with copies: all its windows are repeated, and one of them stands for the others.
 
-Scale: anchors are about two in `length - ANCHOR` places. Shards are sized by the number of pieces, and their sort
-spills. Spans go back to their text by its hash and are united there; a text's spans are bounded by its length.
+Scale: anchors are about two in `length - ANCHOR` places. Shards are sized by the number of pieces; the queues of their
+sort spill, but a shard's text and its types, names and ranks must fit in memory. Spans go back to their text by its hash and are united there; a text's spans are bounded by its length.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +35,7 @@ from .textnp import chunks, flat, mixed, prefix_hash, span_hash
 ANCHOR = 32
 PIECES = 16_000
 SALTS = 16
+HOT, WIDTHS = 2000, (22, 3, 1)
 
 
 def _anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -108,7 +113,7 @@ def _repeated(_: tuple, table: pa.Table) -> pa.Table:
 
 
 def _pieces(length: int):  # noqa: ANN202
-    """A kernel over (k, text, places): the pieces of repeated anchors (shard key, piece key, k, at, body), bodies once a batch."""
+    """A kernel over (k, text, places): the pieces of repeated anchors (shard key, piece key, k, at, place of the anchor in the body, body), bodies once a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,13 +123,44 @@ def _pieces(length: int):  # noqa: ANN202
                 lists = part.column("places")
                 wanted = (np.repeat(np.arange(len(starts)), np.diff(np.asarray(lists.offsets))).astype(np.int64) << 32) | np.asarray(lists.flatten()).astype(np.int64)
                 some = np.isin((text << 32) | (place - starts[text]), wanted)
-                text, h, first, last = text[some], h[some], first[some], last[some]
+                text, place, h, first, last = text[some], place[some], h[some], first[some], last[some]
                 piece = mixed(span_hash(prefix_hash(data), first, last + length) ^ h)
                 _, one = np.unique(piece, return_index=True)
                 own = np.zeros(len(piece), bool)
                 own[one] = True
                 bodies = [data[a:z].tobytes() if keep else None for a, z, keep in zip(first.tolist(), (last + length).tolist(), own.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(piece.view(np.int64)), pa.array(np.asarray(part.column("k"))[text]), pa.array((first - starts[text]).astype(np.int64)), pa.array(bodies, pa.binary())], ["anchor", "piece", "k", "at", "body"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(piece.view(np.int64)), pa.array(np.asarray(part.column("k"))[text]), pa.array((first - starts[text]).astype(np.int64)), pa.array((place - first).astype(np.int32)), pa.array(bodies, pa.binary())], ["anchor", "piece", "k", "at", "pivot", "body"])
+
+    return run
+
+
+def _parts(length: int, width: int):  # noqa: ANN202
+    """A kernel over pieces (anchor, piece, n, pivot, body): their parts (..., of, shift), which stand at `shift` in piece `of`.
+
+    Equal windows have their anchor at the same place, so they are in the same part; its key is the anchor and what
+    all windows with the anchor at these `width` places share.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "body"):
+                data, starts, ends = flat(part.column("body"))
+                anchor, of, n, pivot = (np.asarray(part.column(c)).astype(np.int64) for c in ("anchor", "piece", "n", "pivot"))
+                total, raw, out = prefix_hash(data), data.tobytes(), []
+                for g in range((length - ANCHOR) // width + 1):
+                    high, low = pivot - g * width, pivot - (g + 1) * width + 1
+                    first, last = np.maximum(low, 0), np.minimum(high, ends - starts - length)
+                    some = np.flatnonzero(first <= last)
+                    key = mixed(span_hash(total, (starts + high)[some], (starts + low)[some] + length) ^ mixed(anchor[some].view(np.uint64) ^ np.uint64((g + 1) * 1000 + width)))
+                    out.append((key, some, first[some], last[some] + length))
+                key, some, first, last = (np.concatenate(x) for x in zip(*out, strict=True))
+                piece = mixed(span_hash(total, starts[some] + first, starts[some] + last) ^ key)
+                _, one = np.unique(piece, return_index=True)
+                own = np.zeros(len(piece), bool)
+                own[one] = True
+                bodies = [raw[a:z] if keep else None for a, z, keep in zip((starts[some] + first).tolist(), (starts[some] + last).tolist(), own.tolist(), strict=True)]
+                cols = [pa.array(key.view(np.int64)), pa.array(piece.view(np.int64)), pa.array(n[some]), pa.array((pivot[some] - first).astype(np.int32)), pa.array(bodies, pa.binary()), pa.array(of[some]), pa.array(first)]
+                yield pa.RecordBatch.from_arrays(cols, ["anchor", "piece", "n", "pivot", "body", "of", "shift"])
 
     return run
 
@@ -181,13 +217,37 @@ def repeated_spans(texts: DataFrame, length: int, rows: int) -> DataFrame:
     again = again.groupBy("k").agg(F.flatten(F.collect_list("places")).alias("places"))
     # One row of each text is enough.
     bodies = texts.join(again, "k")
-    pieces = cut(bodies.mapInArrow(_pieces(length), "anchor long, piece long, k long, at long, body binary"), "substring-pieces")
+    pieces = cut(bodies.mapInArrow(_pieces(length), "anchor long, piece long, k long, at long, pivot int, body binary"), "substring-pieces")
     kinds = pieces.groupBy("anchor", "piece").agg(F.count_distinct("k", "at").alias("n"))
     spots = pieces.select("piece", "k", "at").distinct()
-    unique = pieces.where("body is not null").groupBy("anchor", "piece").agg(F.min("body").alias("body"))
-    shards = int(min(100_000, max(8, pieces.count() // PIECES)))
-    sharded = unique.join(kinds, ["anchor", "piece"]).withColumn("shard", F.pmod(seeded(5, "anchor"), F.lit(shards)).cast("int"))
+    unique = pieces.where("body is not null").groupBy("anchor", "piece").agg(F.min("body").alias("body"), F.min("pivot").alias("pivot"))
+    level, count = unique.join(kinds, ["anchor", "piece"]), pieces.count()
+    ready, links = [], []
+    for width in WIDTHS:
+        # At most one anchor in HOT pieces, so the table of them is small.
+        hot = cut(level.groupBy("anchor").agg(F.count(F.lit(1)).alias("pieces")).where(F.col("pieces") > HOT).select("anchor"), "substring-hot")
+        if hot.isEmpty():
+            break
+        ready.append(level.join(F.broadcast(hot), "anchor", "left_anti"))
+        split = level.join(F.broadcast(hot), "anchor", "left_semi").select("anchor", "piece", "n", "pivot", "body")
+        parts = cut(split.mapInArrow(_parts(length, width), "anchor long, piece long, n long, pivot int, body binary, of long, shift long"), "substring-parts")
+        links.append(parts.select("piece", "of", "shift"))
+        merged = parts.groupBy("anchor", "piece").agg(F.sum("n").alias("n"), F.min("pivot").alias("pivot"), F.min("body").alias("body"))
+        alone = parts.groupBy("anchor").agg(F.sum("n").alias("n"), F.min("piece").alias("piece")).where("n = 1").select("anchor", "piece")
+        level = cut(merged.join(alone, ["anchor", "piece"], "left_anti"), "substring-parts")
+        count += level.count()
+    ready.append(level)
+    shards = int(min(100_000, max(8, count // PIECES)))
+    columns = ["anchor", "piece", "n", "body"]
+    sharded = reduce(DataFrame.unionByName, [x.select(columns) for x in ready]).withColumn("shard", F.pmod(seeded(5, "anchor"), F.lit(shards)).cast("int"))
     found = sharded.groupBy("shard").applyInArrow(_sorted(length), "piece long, from long, to long")
+    if links:
+        found = cut(found, "substring-found")
+    for link in reversed(links):
+        # From parts to the pieces that hold them; a part of a passage stands in many pieces, so its rows are salted.
+        salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        held = link.withColumn("salt", F.pmod(seeded(8, "of", "shift"), F.lit(SALTS)).cast("int")).join(salted, ["piece", "salt"])
+        found = found.unionByName(held.select(F.col("of").alias("piece"), (F.col("shift") + F.col("from")).alias("from"), (F.col("shift") + F.col("to")).alias("to")))
     found = found.groupBy("piece").agg(F.collect_list(F.struct("from", "to")).alias("parts"))
     # A piece of a passage that many texts hold stands in many rows: its row of `found` is salted.
     found = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
