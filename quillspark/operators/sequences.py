@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,19 +62,52 @@ def min_gap(df: DataFrame, keys: Sequence[str], at: str, gap: float) -> DataFram
     return folded.select(*keys, F.explode(F.aggregate("__all", F.array().cast(f"array<{kind}>"), keep)).alias(at))
 
 
+def simhash(texts: DataFrame, text: str, code: str) -> DataFrame:
+    """texts with a 64-bit code of all words of `text` (ASCII white space parts them, A-Z folded) in `code`.
+
+    A bit is set where it is set in more than half of the words' hashes, so texts that share most words share most
+    bits. Null texts and texts without words have code 0.
+    """
+    ship(texts.sparkSession)
+    folded = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = F.filter(F.split(folded, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    own = [c for c in texts.columns if c != text]
+    rows = texts.select(*own, F.transform(words, lambda w: F.xxhash64(w)).alias("__hashes"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = []
+            for h in batch.column("__hashes"):
+                h = np.asarray(h.values, np.int64).view(np.uint64)
+                total = np.zeros(64, np.int64)
+                for at in range(0, len(h), 65536):
+                    total += np.unpackbits(h[at : at + 65536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+                codes.append(int(np.packbits(2 * total > len(h), bitorder="little").view("<i8")[0]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(codes, pa.int64())], [*own, code])
+
+    return rows.mapInArrow(run, texts.select(*own).schema.add(code, "long"))
+
+
 def hamming_thin(df: DataFrame, keys: Sequence[str], order: str, code: str, bits: int = 6, last: int = 4) -> DataFrame:
-    """Rows that differ by more than `bits` from each of the last `last` kept rows of their key."""
+    """Rows that differ by more than `bits` from each of the last `last` kept rows of their key.
+
+    A key's rows are read in order as a stream, so that they need not fit in memory.
+    """
     ship(df.sparkSession)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, kept, rows = pdf.sort_values(order), [], []
-        for i, h in enumerate(pdf[code].astype("int64").tolist()):
-            if all(((h ^ x) & (2**64 - 1)).bit_count() > bits for x in kept[-last:]):
-                kept.append(h)
-                rows.append(i)
-        return pdf.iloc[rows]
-
-    return df.groupBy(*keys).applyInPandas(run, df.schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, kept = None, []
+        for batch in batches:
+            rows, own = [], zip(*(batch.column(c).to_pylist() for c in keys), strict=True)
+            for i, (k, h) in enumerate(zip(own, batch.column(code).to_pylist(), strict=True)):
+                if k != key:
+                    key, kept = k, []
+                if all(((h ^ x) & (2**64 - 1)).bit_count() > bits for x in kept):
+                    kept = [*kept, h][-last:]
+                    rows.append(i)
+            yield batch.take(pa.array(rows, pa.int64()))
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, F.asc_nulls_last(order), code).mapInArrow(run, df.schema)
 
 
 def text_windows(df: DataFrame, keys: Sequence[str], start: str, end: str, text: str, length: float = 30, overlap: float = 5) -> DataFrame:

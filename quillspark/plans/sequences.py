@@ -71,9 +71,8 @@ def cuts_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def hamming_thin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents").select("doc_id", "source", F.xxhash64(F.substring(F.coalesce("text", F.lit("")), 1, 64)).alias("code"))
-    # Sources are split by hundreds of ids, as a video's frames would be.
-    return Q.hamming_thin(docs.withColumn("part", F.floor(F.col("doc_id") / 1000)), ["source", "part"], "doc_id", "code", bits=20).select("doc_id", "source")
+    docs = Q.simhash(load(spark, sf_dir, "documents").select("doc_id", "source", "text"), "text", "code")
+    return Q.hamming_thin(docs, ["source"], "doc_id", "code").select("doc_id", "source")
 
 
 @query("SELECT event_id, epoch_us(ts) AS start_us, coalesce(lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id), epoch_us(ts) + 60000000) AS end_us FROM events")
