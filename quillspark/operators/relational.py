@@ -130,3 +130,21 @@ def longest_prefix(df: DataFrame, path: str, prefixes: DataFrame, prefix: str, s
 def dedupe_folded(df: DataFrame, column: str, order: Sequence[Column]) -> DataFrame:
     """The first row of each folded value."""
     return latest(df.withColumn("__k", fold(F.col(column))), ["__k"], order).drop("__k")
+
+
+def wanted(sources: DataFrame, known: DataFrame, languages: tuple[str, str] = ("fr", "en")) -> DataFrame:
+    """(key, target, pass, text): what sources (text, language) still need beside known (text, target, answer).
+
+    First pass: each text in the other language, in both where its own is not one of the two. Second pass: a text that
+    is known to come back unchanged, in its own language. An entry that both passes ask for is in the first. Texts meet
+    by their hash; null texts ask for nothing.
+    """
+    a, b = languages
+    key = F.sha2("text", 256)
+    have = known.where("text is not null").groupBy(key.alias("key"), "target").agg(F.bool_or(F.col("answer") == F.col("text")).alias("same"))
+    rows = sources.where("text is not null").groupBy(key.alias("key"), F.when(F.col("language").isin(a, b), F.col("language")).alias("own")).agg(F.first("text").alias("text"))
+    targets = F.when(F.col("own") == a, F.array(F.lit(b))).when(F.col("own") == b, F.array(F.lit(a))).otherwise(F.array(F.lit(a), F.lit(b)))
+    asked = rows.withColumn("target", F.explode(targets)).join(have, ["key", "target"], "left")
+    first = asked.where("same is null").select("key", "target", F.lit(1).alias("pass"), "text")
+    second = asked.where("same and own is not null").select("key", F.col("own").alias("target"), F.lit(2).alias("pass"), "text").join(have, ["key", "target"], "left_anti")
+    return first.unionByName(second).groupBy("key", "target").agg(F.min("pass").alias("pass"), F.first("text").alias("text"))

@@ -81,6 +81,15 @@ def left_enrich_three(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("l_orderkey", "l_linenumber", "o_orderstatus", "c_name", "n_name")
 
 
+@query()
+def left_enrich_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every lineitem row enriched; `left_enrich_three` has SQL for a part of the table."""
+    rows = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    orders, customer, nation = (load(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
+    rows = rows.join(orders, rows["l_orderkey"] == orders["o_orderkey"], "left").join(customer, F.col("o_custkey") == F.col("c_custkey"), "left").join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    return rows.select("l_orderkey", "l_linenumber", "o_orderstatus", "c_name", "n_name")
+
+
 @query("SELECT o_orderkey, r.first_part FROM orders JOIN (SELECT l_orderkey, min(l_linenumber) AS first_part FROM lineitem GROUP BY l_orderkey) r ON l_orderkey = o_orderkey")
 def join_first_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = load(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_linenumber").alias("first_part"))
@@ -240,6 +249,14 @@ def translation_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.join(known, "key", "left_anti").groupBy("key").agg(F.first("text").alias("text"))
 
 
+@query()
+def translation_wanted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is to be asked for conversations (language unknown) and documents, whose texts are the memory for their own language."""
+    docs = load(spark, sf_dir, "documents")
+    sources = load(spark, sf_dir, "conversations").select("text", F.lit(None).cast("string").alias("language")).unionByName(docs.select("text", F.col("lang").alias("language")))
+    return R.wanted(sources, docs.select("text", F.col("lang").alias("target"), F.col("text").alias("answer")))
+
+
 @query("SELECT doc_id FROM documents WHERE sha256(coalesce(text, '') || chr(31) || coalesce(lang, '')) <> sha256(coalesce(text, '') || chr(31) || CASE WHEN doc_id % 3 = 0 THEN 'xx' ELSE coalesce(lang, '') END)")
 def content_key_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.when(F.col("doc_id") % 3 == 0, "xx").otherwise(F.col("lang")).alias("before"))
