@@ -9,16 +9,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_local: dict[str, str] = {}
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. Only where the cluster names none (local tests) is one made."""
+    """The folder that all executors share, as spark.checkpoint.dir names it.
+
+    Where it is unset, a local session gets a temporary folder of its own; a cluster must name one.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="spark-scratch-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        found = _local.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="spark-scratch-")
+        _local[spark.sparkContext.applicationId] = found
     return found.rstrip("/")
 
 
