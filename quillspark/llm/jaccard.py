@@ -14,7 +14,8 @@ Equal sets are one class, whose members are linked by definition, so only classe
    of near copies costs a pair a member, and no pair of unconnected classes is left out.
 
 Lists are never gathered: the hub of a list is a map-side combined aggregate, and joins on tokens are split by AQE.
-Hashes of 64 bits stand for shingles and sets; in step 1 a shingle keeps 40 bits within its bucket.
+A shingle is a hash of 64 bits: two sets of a million shingles each share a false one with a probability under 1e-7. A
+set is a hash of 64 bits, too; keys that stand for two sets (told apart by a second hash) get both hashes mixed.
 """
 
 from __future__ import annotations
@@ -33,11 +34,24 @@ from .textnp import LOWER, SPACE, chunks, flat, mixed, prefix_hash, shingles, sp
 
 ORDERS = 3
 FLUSH = 1_500_000
+#: Sets of one blob, so that 16 bits number them.
+OWNERS = 60_000
 _SALTS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
-def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes of the distinct shingles of all texts, sorted in each; how many each has; a key of each set)."""
+def set_hash(h: np.ndarray, n: np.ndarray, salt: int) -> np.ndarray:
+    """A hash of each set; h holds the sets' shingles one after another, n how many each has."""
+    total = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(mixed(h ^ np.uint64(salt)), out=total[1:])
+    end = np.cumsum(n)
+    return mixed(total[end] - total[end - n] + n.astype(np.uint64) * np.uint64(_SALTS[0]))
+
+
+def shingle_sets(texts: pa.Array, k: int, shared_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of the distinct shingles of all texts, sorted in each; how many each has; a key and a second hash of each set).
+
+    shared_keys: keys that stand for several sets.
+    """
     data, starts, ends = flat(texts)
     data = LOWER[data]
     at, to, n_words = words(data, starts, ends, ~SPACE)
@@ -51,37 +65,31 @@ def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.nd
     doc = np.repeat(np.arange(len(n)), n)[first]
     h = h[first]
     n = np.bincount(doc, minlength=len(n)).astype(np.int64)
-    total = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(mixed(h ^ np.uint64(_SALTS[2])), out=total[1:])
-    end = np.cumsum(n)
-    key = mixed(total[end] - total[end - n] + n.astype(np.uint64) * np.uint64(_SALTS[0]))
-    return h, n, key
+    key, check = set_hash(h, n, _SALTS[2]), set_hash(h, n, _SALTS[1])
+    if len(shared_keys):
+        key = np.where(np.isin(key, shared_keys), mixed(key ^ mixed(check)), key)
+    return h, n, key, check
 
 
-def set_keys(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, set long, n long) for each row."""
+def set_keys(docs: DataFrame, k: int, shared_keys: np.ndarray) -> DataFrame:
+    """(doc_id, set long, check long, n long) for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
-                _, n, key = shingle_sets(part.column("text"), k)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(key.view(np.int64)), pa.array(n)], ["doc_id", "set", "n"])
-
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, set long, n long")
-
+                _, n, key, check = shingle_sets(part.column("text"), k, shared_keys)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(key.view(np.int64)), pa.array(check.view(np.int64)), pa.array(n)], ["doc_id", "set", "check", "n"])
 
-def _pack(v: np.ndarray) -> bytes:
-    """The low 40 bits of each number."""
-    return v.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, set long, check long, n long")
 
 
-def _unpack(blob: bytes) -> np.ndarray:
-    out = np.zeros((len(blob) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(blob, np.uint8).reshape(-1, 5)
-    return out.view("<u8").ravel()
+def keys_of_several(sizes: DataFrame) -> np.ndarray:
+    """The keys of sizes (set, check) with more than one second hash: about rows^2 / 2^65 of them."""
+    several = sizes.groupBy("set").agg(F.min("check").alias("a"), F.max("check").alias("b")).where("a <> b").select("set")
+    return np.array([r[0] for r in several.collect()], np.int64).view(np.uint64)
 
 
-def _dealt(docs: DataFrame, k: int, buckets: int) -> DataFrame:
+def _dealt(docs: DataFrame, k: int, buckets: int, shared_keys: np.ndarray) -> DataFrame:
     """(bucket, tokens, owners, sets): the bucket's tokens of a batch of documents, each with the place of its set in sets."""
 
     def flush(held: list) -> Iterator[pa.RecordBatch]:
@@ -96,35 +104,35 @@ def _dealt(docs: DataFrame, k: int, buckets: int) -> DataFrame:
         place = np.cumsum(keep) - 1
         own = np.repeat(np.arange(len(n)), n)
         mask = keep[own]
+        # At most OWNERS sets are held.
         h, own = h[mask], place[own[mask]].astype(np.uint16)
-        bucket = (h % np.uint64(buckets)).astype(np.uint16)
+        bucket = (h % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        h, own, sizes = (h // np.uint64(buckets))[order], own[order], np.bincount(bucket, minlength=buckets)
-        sets, ends = key[keep].tobytes(), np.cumsum(sizes)
-        for b in np.flatnonzero(sizes).tolist():
-            cut_ = slice(int(ends[b] - sizes[b]), int(ends[b]))
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([_pack(h[cut_])], pa.binary()), pa.array([own[cut_].tobytes()], pa.binary()), pa.array([sets], pa.binary())], ["bucket", "tokens", "owners", "sets"])
+        h, own, bucket = h[order], own[order], bucket[order]
+        sets, bounds = key[keep].tobytes(), np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(h) else [0]
+        for a, z in zip(bounds[:-1], bounds[1:], strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array([bucket[a]], pa.int64()), pa.array([h[a:z].tobytes()], pa.binary()), pa.array([own[a:z].tobytes()], pa.binary()), pa.array([sets], pa.binary())], ["bucket", "tokens", "owners", "sets"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
         for batch in batches:
             for part in chunks(batch, "text"):
-                held.append(shingle_sets(part.column("text"), k))
-                if sum(len(x[0]) for x in held) >= FLUSH or sum(len(x[1]) for x in held) > 30_000:
-                    yield from flush(held)
+                for at in range(0, part.num_rows, OWNERS // 2):
+                    held.append(shingle_sets(part.slice(at, OWNERS // 2).column("text"), k, shared_keys)[:3])
+                    if sum(len(x[0]) for x in held) >= FLUSH or sum(len(x[1]) for x in held) > OWNERS // 2:
+                        yield from flush(held)
         yield from flush(held)
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "bucket int, tokens binary, owners binary, sets binary")
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "bucket long, tokens binary, owners binary, sets binary")
 
 
 def _shared(buckets: int):  # noqa: ANN202
     """A kernel over one bucket: for each shared token and set (doc_bucket, sets, tokens, df), dealt by set."""
 
-    def kernel(key: tuple, table: pa.Table) -> pa.Table:
-        bucket = key[0].as_py()
+    def kernel(_: tuple, table: pa.Table) -> pa.Table:
         toks, sets = [], []
         for t, o, s in zip(*(table.column(c).to_pylist() for c in ("tokens", "owners", "sets")), strict=True):
-            toks.append(_unpack(t))
+            toks.append(np.frombuffer(t, np.uint64))
             sets.append(np.frombuffer(s, np.uint64)[np.frombuffer(o, np.uint16)])
         tok, own = np.concatenate(toks), np.concatenate(sets)
         del toks, sets
@@ -146,16 +154,15 @@ def _shared(buckets: int):  # noqa: ANN202
             tok, own, df = tok[mask], own[mask], df[mask]
         else:
             tok, own, df = tok[:0], own[:0], np.zeros(0, np.uint8)
-        to = (own % np.uint64(buckets)).astype(np.uint16)
+        to = (own % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(to, kind="stable")
-        tok, own, df, sizes = tok[order] * np.uint64(buckets) + np.uint64(bucket), own[order], df[order], np.bincount(to, minlength=buckets)
-        ends = np.cumsum(sizes)
+        tok, own, df, to = tok[order], own[order], df[order], to[order]
+        bounds = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1], [True]])) if len(to) else [0]
         rows: list[list] = [[], [], [], []]
-        for b in np.flatnonzero(sizes).tolist():
-            part = slice(int(ends[b] - sizes[b]), int(ends[b]))
-            for col, v in zip(rows, (b, own[part].tobytes(), tok[part].tobytes(), df[part].tobytes()), strict=True):
+        for a, z in zip(bounds[:-1], bounds[1:], strict=True):
+            for col, v in zip(rows, (to[a], own[a:z].tobytes(), tok[a:z].tobytes(), df[a:z].tobytes()), strict=True):
                 col.append(v)
-        return pa.table([pa.array(rows[0], pa.int32()), *(pa.array(x, pa.binary()) for x in rows[1:])], names=["bucket", "sets", "tokens", "df"])
+        return pa.table([pa.array(rows[0], pa.int64()), *(pa.array(x, pa.binary()) for x in rows[1:])], names=["bucket", "sets", "tokens", "df"])
 
     return kernel
 
@@ -191,9 +198,9 @@ def _profile(num: int, den: int):  # noqa: ANN202
     return kernel
 
 
-def profiles(docs: DataFrame, sizes: DataFrame, k: int, num: int, den: int, buckets: int) -> DataFrame:
+def profiles(docs: DataFrame, sizes: DataFrame, k: int, num: int, den: int, buckets: int, shared_keys: np.ndarray) -> DataFrame:
     """(set, n, shared, prefix0.., tokens) of the classes that may have a partner."""
-    shared = _dealt(docs, k, buckets).groupBy("bucket").applyInArrow(_shared(buckets), "bucket int, sets binary, tokens binary, df binary")
+    shared = _dealt(docs, k, buckets, shared_keys).groupBy("bucket").applyInArrow(_shared(buckets), "bucket long, sets binary, tokens binary, df binary")
     own = sizes.where("n > 0").select("set", "n").distinct().withColumn("bucket", _unsigned_mod(F.col("set"), buckets))
     arrays = ", ".join(f"prefix{i} array<long>" for i in range(ORDERS))
     return shared.groupBy("bucket").cogroup(own.groupBy("bucket")).applyInArrow(_profile(num, den), f"set long, n long, shared long, {arrays}, tokens array<long>")
@@ -201,7 +208,7 @@ def profiles(docs: DataFrame, sizes: DataFrame, k: int, num: int, den: int, buck
 
 def _unsigned_mod(h: Column, m: int) -> Column:
     """h as an unsigned number, modulo m."""
-    return F.pmod(F.pmod(F.shiftrightunsigned(h, 1), F.lit(m)) * 2 + h.bitwiseAND(F.lit(1)), F.lit(m)).cast("int")
+    return F.pmod(F.pmod(F.shiftrightunsigned(h, 1), F.lit(m)) * 2 + h.bitwiseAND(F.lit(1)), F.lit(m)).cast("long")
 
 
 def linked(pairs: DataFrame, profile: DataFrame, num: int, den: int) -> DataFrame:
@@ -216,9 +223,9 @@ def linked(pairs: DataFrame, profile: DataFrame, num: int, den: int) -> DataFram
     return full.where(both * (num + den) >= (F.col("a_n") + F.col("b_n")) * num).select("a", "b")
 
 
-def class_components(docs: DataFrame, sizes: DataFrame, k: int, num: int, den: int, buckets: int) -> DataFrame:
+def class_components(docs: DataFrame, sizes: DataFrame, k: int, num: int, den: int, buckets: int, shared_keys: np.ndarray) -> DataFrame:
     """(node, component) of the classes that have a link to another class."""
-    profile = cut(profiles(docs, sizes, k, num, den, buckets), "jaccard-profiles")
+    profile = cut(profiles(docs, sizes, k, num, den, buckets, shared_keys), "jaccard-profiles")
     post = cut(profile.select("set", "n", "shared", F.posexplode("prefix0").alias("at", "token")), "jaccard-postings")
     # The hub of a list: the class with the least part of unique shingles, then the least key.
     lists = post.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct((F.col("n") - F.col("shared")).alias("unique"), "set", "n", "shared")).alias("hub")).where("size > 1")
@@ -258,9 +265,15 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
     empty table gives an empty result.
     """
     ship(docs.sparkSession)
-    sizes = cut(set_keys(docs, k), "jaccard-sizes")
-    buckets = int(min(65_000, max(64, sizes.count() // 16_000)))
-    comps = class_components(docs, sizes.select("set", "n"), k, num, den, buckets)
+    shared_keys = np.zeros(0, np.uint64)
+    while True:
+        sizes = cut(set_keys(docs, k, shared_keys), "jaccard-sizes")
+        several = keys_of_several(sizes)
+        if not len(several):
+            break
+        shared_keys = np.union1d(shared_keys, several)
+    buckets = max(64, sizes.count() // 16_000)
+    comps = class_components(docs, sizes.select("set", "n"), k, num, den, buckets, shared_keys)
     rows = sizes.join(comps.withColumnRenamed("node", "set"), "set", "left").withColumn("c", F.coalesce("component", "set"))
     # Written first, so that the join deals both sides anew and AQE can split a component that holds many rows.
     ids = cut(rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("component_id")), "jaccard-ids")
