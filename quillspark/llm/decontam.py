@@ -1,18 +1,18 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
-The index holds (term, document, position) for the terms that queries ask for. A query window (n consecutive item
-words) is looked up by its rarest terms: their posting lists, shifted by the terms' offsets in the item, must meet
-at one alignment. What is left is compared word by word with the document (exact phrase), so nothing false stays,
-and nothing is lost, since an occurrence of a window holds its rarest terms.
+The index holds (term, document, position) for the rarest terms of the queries' windows (n consecutive item words). It
+is written once to the shared folder. A window is looked up by its rarest terms: their posting lists, shifted by the
+terms' offsets in the item, must meet at one alignment. What is left is compared word by word with the document (exact
+phrase), so nothing false stays, and nothing is lost, since an occurrence of a window holds its rarest terms.
 
 Documents are keyed by 128 bits of their text, so that copies share postings and verdicts, and rows with null or
 repeated ids keep their own verdict. Only DataFrame functions are used.
 
-Scale: postings are kept only for the rarest terms of windows. The item side (vocabulary, anchors) is counted and
-broadcast only up to BROADCAST_ROWS rows, candidates only up to BROADCAST_WINDOWS windows; beyond that the same joins
-run as shuffles.
-Terms frequent in the corpus are rarely anchors; where an item has no other, its posting list is long, but joins
-the broadcast item side in place, without gathering the list in one task.
+Scale: postings are kept only for terms that windows are looked up by. The item side (vocabulary, anchors) is counted
+and broadcast only up to BROADCAST_ROWS rows; beyond that the same joins run as shuffles. Terms frequent in the corpus
+are rarely anchors; where an item has no other, its posting list is long, but joins the item side without being
+gathered in one task. Texts move only if they may have candidates: rows are split by a table of at most CELLS hash
+cells, which is broadcast whatever the size of the input.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from .common import cut, lower_ascii, seeded
 
 #: About 100 bytes a row at most: 20 MB.
 BROADCAST_ROWS = 200_000
-#: A window of 13 words takes about 400 bytes: 10 MB.
-BROADCAST_WINDOWS = 25_000
+#: 4 bytes each: 4 MB.
+CELLS = 1 << 20
 ANCHORS = 2
 
 
@@ -45,8 +45,9 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def postings(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
-    """The positional index of `terms` (term): (term, k1, k2, pos) for each place of docs (k1, k2, words)."""
-    return docs.select("k1", "k2", F.posexplode("words").alias("pos", "term")).join(small(terms, n_terms), "term")
+    """The positional index of `terms` (term), written: (term, k1, k2, pos) for each place of docs (k1, k2, words)."""
+    found = docs.select("k1", "k2", F.posexplode("words").alias("pos", "term")).join(small(terms, n_terms), "term")
+    return cut(found.select("term", "k1", "k2", "pos").distinct(), "decontam-postings")
 
 
 def item_windows(items: DataFrame, n: int) -> DataFrame:
@@ -86,24 +87,25 @@ def find_windows(docs: DataFrame, items: DataFrame, n: int) -> DataFrame:
     index = postings(docs, places.select("term").distinct(), min(n_places, n_terms))
     met = index.join(small(places, n_places), "term").select("k1", "k2", "item_id", (F.col("pos") - F.col("at")).alias("shift"), "at")
     met = met.groupBy("k1", "k2", "item_id", "shift").agg(F.collect_set("at").alias("met"))
-    n_windows = anchored.count()
-    found = met.join(small(anchored, n_windows), "item_id").where(F.size(F.array_except("at", "met")) == 0)
+    # A window is met at its first anchor, and needs the others at the same alignment.
+    led = anchored.withColumn("lead", F.element_at("at", 1))
+    found = met.withColumn("lead", F.explode("met")).join(small(led, anchored.count()), ["item_id", "lead"]).where(F.size(F.array_except("at", "met")) == 0)
     return found.select("k1", "k2", "item_id", (F.col("shift") + F.col("start")).alias("first"), "terms").where(F.col("first") >= 0)
 
 
 def proximity_matches(docs: DataFrame, phrases: DataFrame, slop: int) -> DataFrame:
     """(doc_id, phrase_id, first): places where all terms of a phrase stand in order, at most `slop` words off their places.
 
-    docs: (doc_id, text); phrases: (phrase_id, text) of at least one word. The posting list of the rarest term is met
-    with the others' by document and a cell of slop + 1 words, so lists are never crossed whole.
+    docs: (doc_id, text); phrases: (phrase_id, text) of at least one word, few enough to broadcast their ids. The posting
+    list of the rarest term is met with the others' by document and a cell of slop + 1 words, so lists are never crossed
+    whole.
     """
     rows = docs.select("doc_id", *text_key(F.col("text")), words(F.col("text")).alias("words"))
     asked = phrases.select("phrase_id", F.posexplode(words(F.col("text"))).alias("i", "term"))
     index = rows.select("doc_id", F.posexplode("words").alias("pos", "term")).join(asked, "term").withColumn("shift", F.col("pos") - F.col("i"))
-    frequency = Window.partitionBy("phrase_id", "i")
-    index = index.withColumn("n", F.count(F.lit(1)).over(frequency))
-    rarest = index.groupBy("phrase_id").agg(F.min(F.struct("n", "i"))["i"].alias("rare"))
-    marked = index.join(rarest, "phrase_id")
+    counted = index.groupBy("phrase_id", "i").agg(F.count(F.lit(1)).alias("n"))
+    rarest = counted.groupBy("phrase_id").agg(F.min(F.struct("n", "i"))["i"].alias("rare"))
+    marked = index.join(F.broadcast(rarest), "phrase_id")
     width = slop + 1
     lead = marked.where("i = rare").select("doc_id", "phrase_id", F.col("shift").alias("at"), F.explode(F.array(*[F.floor(F.col("shift") / width) + d for d in (-1, 0, 1)])).alias("cell"))
     near = lead.join(marked.withColumn("cell", F.floor(F.col("shift") / width)), ["doc_id", "phrase_id", "cell"]).where(F.abs(F.col("shift") - F.col("at")) <= slop)
@@ -128,18 +130,22 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = 13, numerator: int
     added = ["n_words", "n_hit", "hit_items", "contaminated"]
     docs = docs.drop(*added)
     own = [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]
-    keyed = lambda *more: docs.select(*more, *text_key(F.col("text")), words(F.col("text")).alias("words"))
+    row = docs.select(F.struct(*own).alias("__row"), *text_key(F.col("text")), F.col("text").alias("__text"))
+    split = words(F.col("__text")).alias("words")
     bare = items.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("words")).where("item_id is not null")
     # Rows of one item are told apart while windows are looked up.
     bare = bare.withColumn("item_id", F.struct("item_id", F.xxhash64("words").alias("row"))).distinct()
-    found = find_windows(keyed(), bare, n)
+    found = find_windows(row.select("k1", "k2", split), bare, n)
     per_text = found.groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "terms", F.col("item_id.item_id").alias("item_id"))).alias("found"))
     per_text = cut(per_text, "decontam-candidates")
-    held = per_text.agg(F.coalesce(F.sum(F.size("found")), F.lit(0))).first()[0]
-    rows = keyed(*own).join(F.broadcast(per_text) if held <= BROADCAST_WINDOWS else per_text, ["k1", "k2"], "left")
-    true = F.filter(F.coalesce("found", F.array()), lambda f: F.slice("words", f["first"] + 1, F.size(f["terms"])) == f["terms"])
-    rows = rows.withColumn("__true", true)
-    spans = F.array_sort(F.transform("__true", lambda f: F.struct(f["first"].alias("a"), (f["first"] + F.size(f["terms"])).alias("b"))))
+    cell = F.pmod(F.col("k1"), F.lit(CELLS)).cast("int")
+    cells = cut(per_text.select(cell.alias("__cell")).distinct(), "decontam-cells")
+    row = row.withColumn("__cell", cell)
+    clean = row.join(F.broadcast(cells), "__cell", "left_anti").select("__row", F.size(split).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("hit_items"))
+    rows = row.join(F.broadcast(cells), "__cell", "left_semi").join(per_text, ["k1", "k2"], "left").select("__row", split, F.coalesce("found", F.array()).alias("found"))
+    rows = rows.withColumn("true", F.filter("found", lambda f: F.slice("words", f["first"] + 1, F.size(f["terms"])) == f["terms"]))
+    spans = F.array_sort(F.transform("true", lambda f: F.struct(f["first"].alias("a"), (f["first"] + F.size(f["terms"])).alias("b"))))
     union = F.aggregate(spans, F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")), lambda s, x: F.struct(F.greatest(s["end"], x["b"]).alias("end"), (s["n"] + F.greatest(F.lit(0), x["b"] - F.greatest(x["a"], s["end"]))).alias("n")), lambda s: s["n"].cast("long"))
-    out = rows.select(*own, F.size("words").cast("long").alias("n_words"), union.alias("n_hit"), F.array_sort(F.array_distinct(F.transform("__true", lambda f: f["item_id"]))).alias("hit_items"))
+    met = rows.select("__row", F.size("words").cast("long").alias("n_words"), union.alias("n_hit"), F.array_sort(F.array_distinct(F.transform("true", lambda f: f["item_id"]))).alias("hit_items"))
+    out = clean.unionByName(met).select("__row.*", "n_words", "n_hit", "hit_items")
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * denominator >= F.col("n_words") * numerator))

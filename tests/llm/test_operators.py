@@ -134,7 +134,9 @@ def test_decontamination(spark, texts):
         w = word.findall((t or "").translate(LOW))
         for k in range(max(1, len(w) - 12) if w else 0):
             windows[tuple(w[k : k + 13])].add(i)
-    df = docs_of(spark, docs).withColumn("n_words", F.lit("clash"))
+    df = docs_of(spark, docs)
+    for clash in ("n_words", "words", "k1", "found", "term", "item_id"):
+        df = df.withColumn(clash, F.lit("clash"))
     got = decontam.decontaminate(df, spark.createDataFrame(items, "item_id string, text string"))
     want = []
     for i, t in docs:
