@@ -12,6 +12,7 @@ labels to features.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import cut, seeded
+from .common import cut, seeded, unit
 from .textnp import SPACE, chunks, counts_between, flat, prefix_hash, span_hash, words
 
 FEATURES = ["log_bytes", "log_words", "word_bytes", "upper", "digit", "stop", "bang", "symbol", "pipe", "space", "newline", "wide", "distinct", "cased_words", "symbol_words", "line_repeat"]
@@ -182,9 +183,16 @@ def features(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def train(feats: DataFrame, labels: DataFrame, sample_rows: int = 20_000, seed: int = 0) -> Additive:
-    """labels: (key, label 0 or 1). Null keys and labels are left out; of several labels of a key the largest counts."""
+    """labels: (key, label 0 or 1). Null keys and labels are left out; of several labels of a key the largest counts.
+
+    The rows of the least hashes are taken. Those beyond a bound that the count of rows gives are dropped first, so that
+    about sample_rows rows, not that many a partition, are sorted and sent.
+    """
     known = labels.where(F.col("key").isNotNull() & F.col("label").isNotNull()).groupBy("key").agg(F.max("label").alias("label"))
-    rows = feats.join(known, "key").orderBy(seeded(seed, "key"), "key").limit(sample_rows).toPandas()
+    held = feats.where(F.col("key").isNotNull()).select("key").join(known, "key").count()
+    bound = (sample_rows + 6 * math.sqrt(sample_rows)) / max(1, held)
+    some = known.where(unit(seeded(seed, "key")) < bound)
+    rows = feats.where(unit(seeded(seed, "key")) < bound).join(some, "key").orderBy(unit(seeded(seed, "key")), "key", "features").limit(sample_rows).toPandas()
     x = np.array(rows["features"].tolist(), float).reshape(-1, len(FEATURES))
     return fit(x, rows["label"].to_numpy(float))
 

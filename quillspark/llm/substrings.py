@@ -47,18 +47,20 @@ def _anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int
     total = prefix_hash(data)
     at = np.arange(n - ANCHOR + 1)
     h = span_hash(total, at, at + ANCHOR)
-    bits = np.uint64(max(1, n.bit_length()))
-    packed = ((h >> bits) << bits) | at.astype(np.uint64)
     width = length - ANCHOR + 1
-    # Least of each `width` neighbours: from the left within blocks, and from the right.
-    blocks = -(-len(packed) // width)
+    # Least of each `width` neighbours, and the leftmost place of it: from the left within blocks, and from the right.
+    blocks = -(-len(h) // width)
     grid = np.full(blocks * width, np.uint64(0xFFFFFFFFFFFFFFFF))
-    grid[: len(packed)] = packed
-    grid = grid.reshape(blocks, width)
-    left = np.minimum.accumulate(grid, axis=1).ravel()
-    right = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
+    grid[: len(h)] = h
+    grid, spot = grid.reshape(blocks, width), np.arange(blocks * width).reshape(blocks, width)
+    left = np.minimum.accumulate(grid, axis=1)
+    fresh = np.ones_like(grid, bool)
+    fresh[:, 1:] = left[:, 1:] < left[:, :-1]
+    left_at = np.maximum.accumulate(np.where(fresh, spot, 0), axis=1).ravel()
+    right = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1]
+    right_at = np.minimum.accumulate(np.where(grid == right, spot, blocks * width)[:, ::-1], axis=1)[:, ::-1].ravel()
     m = n - length + 1
-    place = (np.minimum(right[:m], left[width - 1 : width - 1 + m]) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    place = np.where(right.ravel()[:m] <= left.ravel()[width - 1 : width - 1 + m], right_at[:m], left_at[width - 1 : width - 1 + m])
     sizes = ends - starts
     windows = np.maximum(sizes - length + 1, 0)
     text = np.repeat(np.arange(len(starts)), windows)
