@@ -252,7 +252,7 @@ def star_order(text: np.ndarray, star: np.ndarray, sigma: int, depth: int, memor
         return _double(names, steps)
     order = np.zeros(len(names), np.int64)
     at = 0
-    for place, _ in suffixes(names.astype(np.uint16), kinds, min(steps, 200), memory):
+    for place, _ in suffixes(names.astype(np.uint32), kinds, min(steps, 200), memory):
         order[at : at + len(place)] = place
         at += len(place)
     return order[::-1]

@@ -52,24 +52,28 @@ class Code:
             self.books.append(c / np.linalg.norm(c, axis=1, keepdims=True))
         self.least = NormalDist().inv_cdf(1 - share) * math.sqrt(self.m / dim)
 
-    def decode(self, v: np.ndarray) -> list[np.ndarray]:
-        """The filters of each unit vector."""
+    def decode(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, filter) for each filter of each unit vector, in order of rows."""
+        n = len(v)
         v = v @ self.rotation
         scores = [v[:, a:z] @ book.T for a, z, book in zip(self.cuts, self.cuts[1:], self.books, strict=False)]
         best = [s.max(1) for s in scores]
-        after = [sum(best[j + 1 :], np.zeros(len(v))) for j in range(self.m)]
-        out = []
-        for i in range(len(v)):
-            code, total = np.zeros(1, np.int64), np.zeros(1)
-            for j in range(self.m):
-                s = scores[j][i]
-                low = self.least - after[j][i]
-                some = np.flatnonzero(s >= low - total.max()) if len(total) else np.zeros(0, np.int64)
-                sums = total[:, None] + s[some][None, :]
-                at, which = np.nonzero(sums >= low)
-                code, total = code[at] * self.b + some[which], sums[at, which]
-            out.append(code)
-        return out
+        row, code, total = np.arange(n), np.zeros(n, np.int64), np.zeros(n)
+        for j, s in enumerate(scores):
+            low = self.least - sum(best[j + 1 :], np.zeros(n))
+            most = np.full(n, -np.inf)
+            np.maximum.at(most, row, total)
+            # The codewords that can go on with the best partial sum of their row, then each partial sum with each of them.
+            at, which = np.nonzero(s >= (low - most)[:, None])
+            count = np.bincount(at, minlength=n)
+            start, many = np.cumsum(count) - count, count[row]
+            part = np.repeat(np.arange(len(row)), many)
+            some = np.arange(len(part)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(start[row], many)
+            sums = total[part] + s[at[some], which[some]]
+            kept = np.flatnonzero(sums >= low[row[part]])
+            part, some = part[kept], some[kept]
+            row, code, total = row[part], code[part] * self.b + which[some], sums[kept]
+        return row, code
 
 
 class Filters:
@@ -98,20 +102,28 @@ class Filters:
             raise ValueError(f"links at cosine {rho} among {n} vectors of {dim} components would take {count} codes")
         self.codes = [code, *(Code(share, dim, rng) for _ in range(int(count) - 1))]
         x, y = _pairs(400, dim, rho, rng)
-        self.recall = float(np.mean([bool(np.intersect1d(a, b).size) for a, b in zip(self.decode(x), self.decode(y), strict=True)]))
+        self.recall = _met(self.decode(x), self.decode(y), len(x))
         if self.recall < RECALL:
             raise ValueError(f"{len(self.codes)} codes find {self.recall:.3f} of the links at cosine {rho} among {n} vectors of {dim} components")
 
     @staticmethod
     def _needed(code: Code, dim: int, rho: float, rng: np.random.Generator) -> float:
         x, y = _pairs(PAIRS, dim, rho, rng)
-        met = np.mean([bool(np.intersect1d(a, b).size) for a, b in zip(code.decode(x), code.decode(y), strict=True)])
+        met = _met(code.decode(x), code.decode(y), len(x))
         low = min(0.99, met - 2 * math.sqrt(met * (1 - met) / PAIRS))
         return math.ceil(math.log(MISS) / math.log1p(-low)) if low > 0 else math.inf
 
-    def decode(self, v: np.ndarray) -> list[np.ndarray]:
-        found = [[np.int64(i * c.b**c.m) + x for x in c.decode(v)] for i, c in enumerate(self.codes)]
-        return [np.sort(np.concatenate(x)) for x in zip(*found, strict=True)]
+    def decode(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rows, found = zip(*(c.decode(v) for c in self.codes), strict=True)
+        row, code = np.concatenate(rows), np.concatenate([np.int64(i * c.b**c.m) + x for i, (c, x) in enumerate(zip(self.codes, found, strict=True))])
+        order = np.lexsort((code, row))
+        return row[order], code[order]
+
+
+def _met(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray], n: int) -> float:
+    """The share of n rows that have a filter in common."""
+    both = np.intersect1d(np.stack(x, 1).astype(np.int64).view("i8,i8"), np.stack(y, 1).astype(np.int64).view("i8,i8"))
+    return len(np.unique(both["f0"])) / n
 
 
 def _pairs(count: int, dim: int, rho: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
@@ -205,9 +217,8 @@ def _links(classes: DataFrame, n: int, dim: int, rho: float, seed: int) -> DataF
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                found = code.decode(_unit(_matrix(part.column("v"))))
-                lengths = [len(x) for x in found]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(part.column("k")), lengths)), pa.array(np.concatenate(found))], ["k", "f"])
+                row, found = code.decode(_unit(_matrix(part.column("v"))))
+                yield pa.RecordBatch.from_arrays([pa.array(np.asarray(part.column("k"))[row]), pa.array(found)], ["k", "f"])
 
     member = cut(classes.select("k", "v").mapInArrow(decode, "k long, f long"), "near-filters")
     # Ids of filters are spread by a hash, since codewords that many vectors exceed are neighbours.
@@ -238,8 +249,14 @@ def near_duplicates(vectors: DataFrame, rho: float = 0.95, seed: int = 0) -> Dat
     good = F.col("embedding").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = vectors.select("vec_id", "embedding", v.alias("v"))
     rows = rows.withColumn("good", F.coalesce(good, F.lit(False)))
-    rows = rows.withColumn("k", F.when(F.col("good"), seeded(seed, "v")))
-    classes = cut(rows.where("k is not null").groupBy("k").agg(F.first("embedding").alias("v"), F.count(F.lit(1)).alias("copies")).withColumn("dim", F.size("v")), "near-classes")
+    # A key stands for one vector: where two have the same hash, another hash is taken.
+    while True:
+        keyed = rows.withColumn("k", F.when(F.col("good"), seeded(seed, "v")))
+        classes = cut(keyed.where("k is not null").groupBy("k", "v").agg(F.count(F.lit(1)).alias("copies")).withColumn("dim", F.size("v")), "near-classes")
+        if classes.count() == classes.select("k").distinct().count():
+            break
+        seed += 1
+    rows = keyed
     # A length's vectors are compared with each other; one that stands alone has no partner.
     dims = {r["dim"]: r["count"] for r in classes.groupBy("dim").count().where("count > 1").orderBy("dim").collect()}
     found = [_links(classes.where(F.col("dim") == dim), n, dim, rho, seed) for dim, n in dims.items()]
