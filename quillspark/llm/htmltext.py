@@ -2,15 +2,21 @@
 
 Every paragraph-like block passes points for its length and commas to its ancestors (all to the parent, half to the
 grandparent, then less by depth). A container's points are discounted by its link density; the best container
-wins, and siblings that score near it or read like prose are kept with it. Boilerplate elements are pruned first.
+wins and grows to the article element or the plain containers around it. Siblings that score near it or read like
+prose, and headings beside it, are kept with it. Boilerplate elements are pruned first.
 
-Pages are independent rows: no shuffle, one page in memory at a time.
+Names of classes and ids count word by word: a token such as "comment-list" or "site-footer" marks boilerplate, since
+all its words do or are words of layout; "related-work" does not. Words that articles use too (related, notice, share)
+prune only what is short or full of links, and lower the score of the rest.
+
+Pages are independent rows: no shuffle, one page in memory at a time. A page's nodes are walked a fixed number of times.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,30 +35,63 @@ _BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "cente
 _PRUNED = {"nav", "header", "footer", "aside", "form", "menu", "button", "select", "dialog", "svg", "canvas", "object", "audio", "video", "head", "input", "label", "datalist", "map"} | _RAW
 _CLOSES_P = _BLOCK - {"html", "body"}
 _SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr"}, {"table", "tbody", "thead", "tfoot"}), "option": ({"option"}, {"select"})}
-_NEGATIVE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adverts|sponsor\w*|promo\w*|banner|sidebar|side-bar|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|comments?|comment-?list|respond|disqus|cookies?|consent|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|share|sharing|social|related|recommend\w*|widget|pagination|pager|toolbar|skip)(?:$|[\s_-]|\d)", re.I)
+#: Words of boilerplate, those that articles use too, and words of layout that go with either.
+_STRONG = re.compile(r"(?:ads?|advert\w*|sponsor\w*|promo\w*|sidebars?|menus?|nav|navbar|navigation|breadcrumbs?|footer|masthead|comments?|commentlist|disqus|cookies?|popup|modal|newsletter|subscribe|signup|pagination|pager|toolbar|contentinfo|complementary)")
+_WEAK = re.compile(r"(?:banner|header|side|respond|responses|consent|notices?|alerts?|overlay|share|sharing|social|related|relatedposts|recommend\w*|widgets?|skip)")
+_LAYOUT = set("area areas bar block blocks body bottom box boxes btn button buttons column container content entry extra field footer form global head holder icons inner item items left link links list lists main meta more navi outer page panel post posts primary reader readers right secondary section site slot space stories sub text thread title top unit user view wrap wrapper article articles blog".split())
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 _POSITIVE = re.compile(r"article|body|content|entry|hentry|main|page|post|text|story|blog", re.I)
+_HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+_INLINE_HOLDERS = ("p", *_HEADINGS, "li", "tr", "td", "th", "pre", "dt", "dd")
+_NO_CONTAINER = ("p", *_HEADINGS, "pre", "li", "td", "th", "dt", "dd", "tr", "tbody", "blockquote", "figcaption")
+#: Ancestors that a block passes points to; text of this many characters is not short.
+LEVELS, SHORT = 10, 300
+
+
+def _marks(tokens: str) -> str:
+    """"strong", "weak" or "" for the classes and ids of an element."""
+    found = ""
+    for token in tokens.split():
+        words = [w.lower() for w in _WORDS.findall(token) if not w.isdigit()]
+        strong, weak = any(_STRONG.fullmatch(w) for w in words), any(_WEAK.fullmatch(w) for w in words)
+        if (strong or weak) and all(_STRONG.fullmatch(w) or _WEAK.fullmatch(w) or w in _LAYOUT for w in words):
+            if strong:
+                return "strong"
+            found = "weak"
+    return found
 
 
 class _Node:
-    __slots__ = ("children", "name", "parent", "pruned", "score", "weight")
+    __slots__ = ("chars", "children", "kept", "linked", "mark", "name", "parent", "pruned", "score", "weight", "whole")
 
     def __init__(self, name: str, parent: _Node | None, attributes: str = "") -> None:
         self.name, self.parent, self.children, self.score = name, parent, [], 0.0
+        self.chars, self.linked, self.kept, self.whole, self.mark = 0, 0, False, False, ""
         self.pruned, self.weight = name in _PRUNED, 25.0 if name in ("article", "main") else 0.0
         if attributes and name not in ("html", "body"):
             marks = " ".join((a[1] or a[2] or a[3]) for a in _ATTRIBUTE.findall(attributes) if a[0].lower() in ("class", "id", "role"))
             if marks:
-                if _NEGATIVE.search(marks) and name not in ("article", "main"):
-                    self.pruned = True
+                self.mark = _marks(marks) if name not in ("article", "main") or "comment" in marks.lower() else ""
                 if _POSITIVE.search(marks):
                     self.weight += 25.0
+                if self.mark:
+                    self.weight -= 25.0
             if re.search(r"\bhidden\b|display\s*:\s*none", attributes, re.I) and re.search(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", attributes, re.I):
                 self.pruned = True
 
 
-def _parse(page: str) -> _Node:
-    """A tree of nodes whose children are nodes and undecoded strings; tolerant of missing and stray tags."""
+def _closed(node: _Node, to: _Node, opened: Counter) -> _Node:
+    """Closes all elements from node up to `to`, which stays open."""
+    while node is not to:
+        opened[node.name] -= 1
+        node = node.parent
+    return to
+
+
+def _parse(page: str) -> list[_Node]:
+    """Nodes in page order, the root first; children are nodes and undecoded strings. Tolerant of missing and stray tags."""
     root = node = _Node("#root", None)
+    nodes, opened = [root], Counter()
     at, n = 0, len(page)
     while at < n:
         m = _TOKEN.search(page, at)
@@ -66,38 +105,40 @@ def _parse(page: str) -> _Node:
         if not name:
             continue
         if m[1] or m[4]:
-            up = node
+            up = node if opened[name] else None
             while up is not None and up.name != name:
                 up = None if name != "p" and up.name in ("td", "table") and name not in ("table", "tr", "td", "th", "tbody", "thead", "tfoot", "body", "html", "article", "main", "div", "section") else up.parent
             if up is not None and up.parent is not None:
-                node = up.parent
+                node = _closed(node, up.parent, opened)
             elif name == "br":
                 node.children.append(" ")
             continue
         if name in ("br", "wbr"):
             node.children.append(" " if name == "br" else "")
             continue
-        if name in _CLOSES_P:
+        if name in _CLOSES_P and opened["p"]:
             up = node
             while up is not None and up.name != "p" and (up.name not in _BLOCK):
                 up = up.parent
             if up is not None and up.name == "p":
-                node = up.parent
+                node = _closed(node, up.parent, opened)
         if name in _SIBLINGS:
             ends, stops = _SIBLINGS[name]
-            up = node
+            up = node if any(opened[x] for x in ends) else None
             while up is not None and up.name not in ends and up.name not in stops:
                 up = up.parent
             if up is not None and up.name in ends:
-                node = up.parent
+                node = _closed(node, up.parent, opened)
         child = _Node(name, node, m[3] if m[2] else m[6])
         node.children.append(child)
+        nodes.append(child)
         if name in _RAW:
             end = _RAW_END[name].search(page, at)
             at = end.end() if end else n
         elif name not in _VOID:
             node = child
-    return root
+            opened[name] += 1
+    return nodes
 
 
 def _runs(node: _Node, out: list, holder: _Node, link: bool) -> None:
@@ -140,47 +181,80 @@ def _blocks(root: _Node) -> list[tuple[_Node, str, int]]:
     return out
 
 
+def _prune(nodes: list[_Node]) -> None:
+    """Prunes elements that their marks say are boilerplate; an element around the article is none."""
+    for x in reversed(nodes):
+        for c in x.children:
+            if isinstance(c, str):
+                x.chars += len(c.strip())
+            elif not c.pruned:
+                x.chars += c.chars
+                x.linked += c.linked
+                x.whole |= c.whole
+        if x.name == "a":
+            x.linked = x.chars
+        if x.mark and not x.whole:
+            x.pruned |= x.mark == "strong" or x.chars < SHORT or x.linked > 0.3 * x.chars
+        x.whole |= x.name in ("article", "main") and not x.pruned
+    for x in nodes:
+        x.chars = x.linked = 0
+
+
 def main_text(page: str | None) -> str:
     """Blocks of the best container and its kept siblings, joined by newlines; empty if there is no text."""
     if not page:
         return ""
-    root = _parse(page)
+    nodes = _parse(page)
+    _prune(nodes)
+    root = nodes[0]
     blocks = _blocks(root)
     if not blocks:
         return ""
-    chars: dict[_Node, list[int]] = {}
     for holder, text, linked in blocks:
-        points = (1 + text.count(",") + min(len(text) / 100, 3.0)) * (1 - linked / len(text)) if holder.name not in ("h1", "h2", "h3", "h4", "h5", "h6", "th") else 0.5
-        up, depth = holder if holder.name not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "li", "td", "th", "dt", "dd", "tr", "tbody", "blockquote", "figcaption") else holder.parent, 0
-        while up is not None:
+        points = (1 + text.count(",") + min(len(text) / 100, 3.0)) * (1 - linked / len(text)) if holder.name not in (*_HEADINGS, "th") else 0.5
+        up, depth = holder if holder.name not in _NO_CONTAINER else holder.parent, 0
+        while up is not None and depth < LEVELS:
             up.score += points if depth == 0 else points / 2 if depth == 1 else points / (3 * depth)
             up, depth = up.parent, depth + 1
-        up = holder
-        while up is not None:
-            c = chars.setdefault(up, [0, 0])
-            c[0] += len(text)
-            c[1] += linked
-            up = up.parent
-    density = lambda x: chars[x][1] / max(1, chars[x][0])
-    final = {x: (x.score + (x.weight if x.score else 0)) * (1 - density(x)) for x in chars}
-    inline_holders = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "tr", "td", "th", "pre", "dt", "dd")
-    best = max((x for x in chars if x.name not in inline_holders), key=lambda x: final[x], default=root)
-    kept = {best}
+        holder.chars += len(text)
+        holder.linked += linked
+    for x in reversed(nodes):
+        if x.parent is not None:
+            x.parent.chars += x.chars
+            x.parent.linked += x.linked
+    density = lambda x: x.linked / max(1, x.chars)
+    final = lambda x: (x.score + (x.weight if x.score else 0)) * (1 - density(x))
+    best = max((x for x in nodes if x.chars and x.name not in _INLINE_HOLDERS), key=final, default=root)
+    best = _grown(best)
+    best.kept = True
     if best.parent is not None:
+        top = final(best)
         for x in best.parent.children:
-            if isinstance(x, str) or x is best or x not in chars:
+            if isinstance(x, str) or not x.chars:
                 continue
-            prose = x.name == "p" and (chars[x][0] > 80 and density(x) < 0.25 or chars[x][0] <= 80 and density(x) == 0)
-            if final[x] >= max(10.0, 0.2 * final[best]) or prose:
-                kept.add(x)
-    out = []
-    for holder, text, linked in blocks:
-        up = holder
-        while up is not None and up not in kept:
-            up = up.parent
-        if up is not None and not (linked == len(text) and holder.name == "li"):
-            out.append(text)
-    return "\n".join(out)
+            prose = x.name == "p" and (x.chars > 80 and density(x) < 0.25 or x.chars <= 80 and density(x) == 0)
+            if final(x) >= max(10.0, 0.2 * top) or prose or x.name in _HEADINGS and density(x) < 0.5:
+                x.kept = True
+    for x in nodes[1:]:
+        x.kept |= x.parent.kept
+    return "\n".join(text for holder, text, _ in blocks if holder.kept)
+
+
+def _grown(best: _Node) -> _Node:
+    """The article or main element around best, or the outermost container that adds text without many links."""
+    around, up = [], best
+    while up is not None:
+        around.append(up)
+        up = up.parent
+    for name in ("article", "main"):
+        found = [x for x in around if x.name == name]
+        if found:
+            return found[-1]
+    for x in around[1:]:
+        if x.name in ("body", "html", "#root") or x.chars - best.chars and x.linked - best.linked > 0.25 * (x.chars - best.chars):
+            break
+        best = x
+    return best
 
 
 def extract(pages: DataFrame, names: tuple[str, str] = ("text", "n_chars")) -> DataFrame:
