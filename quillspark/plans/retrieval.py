@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import relational as R
 from ..operators import retrieval as S
+from ..operators import search_index as X
 from .registry import load, query
 
 TERMS = ["then*", "the", "and", "queux*"]
@@ -31,12 +32,19 @@ q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = {PROBE}),
 c AS (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]) AS similarity FROM embeddings, q WHERE vec_id <> {PROBE})"""
 
 
+def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    docs = load(spark, sf_dir, "documents")
+    return docs, X.ensure(docs, "doc_id", "text", "words")
+
+
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.ranked(S.bm25(load(spark, sf_dir, "documents"), "doc_id", "text", TERMS).withColumn("score", F.round("score", 9)), "score", "doc_id", 200)
+    # Ranked by the rounded score, shown from the exact one.
+    docs, path = _index(spark, sf_dir)
+    return S.ranked(X.bm25(docs, path, TERMS, "doc_id").withColumn("near", F.round("score", 9)), "near", "doc_id", 200)
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.ranked(S.similar(load(spark, sf_dir, "embeddings"), "vec_id", "embedding", PROBE).withColumn("similarity", F.round("similarity", 9)), "similarity", "vec_id", 200)
+    return S.ranked(S.similar(load(spark, sf_dir, "embeddings"), "vec_id", "embedding", PROBE).withColumn("near", F.round("similarity", 9)), "near", "vec_id", 200)
 
 
 @query(f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM b ORDER BY round(b.score, 9) DESC, doc_id LIMIT 200")
@@ -46,12 +54,14 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id FROM documents WHERE len(list_filter({TOKENS}, lambda t: starts_with(t, 'thend'))) > 0")
 def prefix_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "documents").where(F.exists(T.tokens(F.col("text")), lambda t: t.startswith("thend"))).select("doc_id")
+    docs, path = _index(spark, sf_dir)
+    return X.postings(docs, path, ["thend*"]).select(F.col("key").alias("doc_id")).distinct()
 
 
 @query(f"SELECT doc_id FROM documents WHERE contains(' ' || array_to_string({TOKENS}, ' ') || ' ', ' of the ')")
 def phrase_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.phrase(load(spark, sf_dir, "documents"), "doc_id", "text", ["of", "the"])
+    docs, path = _index(spark, sf_dir)
+    return X.phrase(docs, path, ["of", "the"], "doc_id").select("doc_id")
 
 
 @query(f"WITH {_COS} SELECT vec_id, round(similarity, 6) AS similarity FROM c ORDER BY round(c.similarity, 9) DESC, vec_id LIMIT 200")
@@ -81,19 +91,19 @@ z AS (SELECT id AS doc_id, round(sum(1.0::DOUBLE / (60 + r)), 9) AS score, min(l
 
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = S.rank_fusion([_words(spark, sf_dir).select("doc_id", "rank"), _vectors(spark, sf_dir).select(F.col("vec_id").alias("doc_id"), "rank")], "doc_id")
-    return out.withColumn("score", F.round("score", 9))
+    return out.withColumn("near", F.round("score", 9))
 
 
 @query(f"{_FUSED} SELECT doc_id, round(score, 6) AS score, lists FROM z ORDER BY z.score DESC, list, doc_id LIMIT 50")
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fused(spark, sf_dir).orderBy(F.desc("score"), "list", "doc_id").limit(50).select("doc_id", F.round("score", 6).alias("score"), "lists")
+    return _fused(spark, sf_dir).orderBy(F.desc("near"), "list", "doc_id").limit(50).select("doc_id", F.round("score", 6).alias("score"), "lists")
 
 
 @query(f"""{_FUSED}, best AS (SELECT doc_id, score, lists FROM z ORDER BY z.score DESC, list, doc_id LIMIT 30)
 SELECT best.doc_id, round(score, 6) AS score, lists, d.lang, d.source, l.quality FROM best JOIN documents d ON d.doc_id = best.doc_id LEFT JOIN labels l ON l.doc_id = best.doc_id""")
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and vectors fused by rank, the best 30 enriched; enrichment reads the large tables by the 30 ids only."""
-    best = _fused(spark, sf_dir).orderBy(F.desc("score"), "list", "doc_id").limit(30).select("doc_id", F.round("score", 6).alias("score"), "lists")
+    best = _fused(spark, sf_dir).orderBy(F.desc("near"), "list", "doc_id").limit(30).select("doc_id", F.round("score", 6).alias("score"), "lists")
     docs, labels = load(spark, sf_dir, "documents").select("doc_id", "lang", "source"), load(spark, sf_dir, "labels").select("doc_id", "quality")
     return docs.join(F.broadcast(best), "doc_id").join(labels, "doc_id", "left")
 
@@ -114,10 +124,8 @@ def facet_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 f AS (SELECT term, count(*) AS df FROM d GROUP BY term) SELECT term, df FROM f, n WHERE df > 1 AND df <= greatest(2, 0.6 * n)""")
 def vocabulary_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms of more than one and at most 60 % of the documents; the count of documents is one broadcast row."""
-    docs = load(spark, sf_dir, "documents")
-    df = docs.select(F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n = docs.agg(F.count(F.lit(1)).alias("n"))
-    return df.join(F.broadcast(n)).where((F.col("df") > 1) & (F.col("df") <= F.greatest(F.lit(2.0), 0.6 * F.col("n")))).select("term", "df")
+    docs, path = _index(spark, sf_dir)
+    return X.vocabulary(docs, path).where((F.col("df") > 1) & (F.col("df") <= F.greatest(F.lit(2.0), 0.6 * F.col("n")))).select("term", "df")
 
 
 @query(f"""WITH h AS (SELECT doc_id, d.lang, {', '.join(f"len(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda t: list_contains({words}, t))) AS {x}" for x, words in T.FUNCTION_WORDS.items())} FROM documents d)
