@@ -27,4 +27,4 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-from . import intervals, relational, retrieval, scalars, search, sequences, tail, transcripts  # noqa: E402, F401
+from . import clocks, intervals, relational, retrieval, scalars, search, sequences, tail, transcripts  # noqa: E402, F401
