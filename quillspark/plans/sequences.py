@@ -63,7 +63,12 @@ def cut_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.cut_candidates(samples(spark, sf_dir), ["user_id"], ["us", "event_id"], "value", sure=95).select("event_id")
 
 
-@query()
+_CANDIDATES = """m AS (SELECT user_id, event_id, epoch_us(ts) AS us, value, greatest(coalesce(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), 0), 1) AS m FROM events),
+c AS (SELECT DISTINCT user_id, us FROM m WHERE value >= 18 AND (value >= 95 OR value >= 3 * m)), o AS (SELECT user_id, us, row_number() OVER (PARTITION BY user_id ORDER BY us) AS i FROM c)"""
+
+
+@query(f"""WITH RECURSIVE {_CANDIDATES}, r AS (SELECT user_id, us, i, us AS kept FROM o WHERE i = 1 UNION ALL SELECT o.user_id, o.us, o.i, CASE WHEN o.us - r.kept >= 21600000000 THEN o.us ELSE r.kept END FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i + 1)
+SELECT DISTINCT user_id, kept AS us FROM r""")
 def cuts_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = Q.cut_candidates(samples(spark, sf_dir), ["user_id"], ["us", "event_id"], "value", sure=95)
     return Q.min_gap(rows, ["user_id"], "us", 6 * 3600 * 1_000_000)
