@@ -34,6 +34,8 @@ from .textnp import LOWER, SPACE, chunks, flat, mixed, prefix_hash, shingles, sp
 
 ORDERS = 3
 FLUSH = 1_500_000
+#: Rows of a bucket, at first and at most.
+ROWS = (4000, 64_000)
 #: Sets of one blob, so that 16 bits number them.
 OWNERS = 60_000
 _SALTS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -90,7 +92,7 @@ def keys_of_several(sizes: DataFrame) -> np.ndarray:
 
 
 def _dealt(docs: DataFrame, k: int, buckets: int, shared_keys: np.ndarray) -> DataFrame:
-    """(bucket, tokens, owners, sets): the bucket's tokens of a batch of documents, each with the place of its set in sets."""
+    """(bucket, tokens, owners, sets): the bucket's tokens of a batch of documents, each with the place of its set in sets (none: in order)."""
 
     def flush(held: list) -> Iterator[pa.RecordBatch]:
         if not held:
@@ -109,9 +111,11 @@ def _dealt(docs: DataFrame, k: int, buckets: int, shared_keys: np.ndarray) -> Da
         bucket = (h % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         h, own, bucket = h[order], own[order], bucket[order]
-        sets, bounds = key[keep].tobytes(), np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(h) else [0]
+        sets, bounds = key[keep], np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(h) else [0]
         for a, z in zip(bounds[:-1], bounds[1:], strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array([bucket[a]], pa.int64()), pa.array([h[a:z].tobytes()], pa.binary()), pa.array([own[a:z].tobytes()], pa.binary()), pa.array([sets], pa.binary())], ["bucket", "tokens", "owners", "sets"])
+            # Numbers of sets beside the list of them where that is shorter, else the sets themselves.
+            blobs = (own[a:z].tobytes(), sets.tobytes()) if 6 * (z - a) > 8 * len(sets) else (b"", sets[own[a:z]].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([bucket[a]], pa.int64()), pa.array([h[a:z].tobytes()], pa.binary()), *(pa.array([x], pa.binary()) for x in blobs)], ["bucket", "tokens", "owners", "sets"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
@@ -133,7 +137,7 @@ def _shared(buckets: int):  # noqa: ANN202
         toks, sets = [], []
         for t, o, s in zip(*(table.column(c).to_pylist() for c in ("tokens", "owners", "sets")), strict=True):
             toks.append(np.frombuffer(t, np.uint64))
-            sets.append(np.frombuffer(s, np.uint64)[np.frombuffer(o, np.uint16)])
+            sets.append(np.frombuffer(s, np.uint64)[np.frombuffer(o, np.uint16)] if o else np.frombuffer(s, np.uint64))
         tok, own = np.concatenate(toks), np.concatenate(sets)
         del toks, sets
         ordered = np.sort(tok)
@@ -272,7 +276,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
         if not len(several):
             break
         shared_keys = np.union1d(shared_keys, several)
-    buckets = max(64, sizes.count() // 16_000)
+    # Small buckets up to 65000 of them; then they grow to what a task can hold, so that blobs do not get too short.
+    rows = sizes.count()
+    buckets = max(8, min(rows // ROWS[0], 65_000), rows // ROWS[1])
     comps = class_components(docs, sizes.select("set", "n"), k, num, den, buckets, shared_keys)
     rows = sizes.join(comps.withColumnRenamed("node", "set"), "set", "left").withColumn("c", F.coalesce("component", "set"))
     # Written first, so that the join deals both sides anew and AQE can split a component that holds many rows.

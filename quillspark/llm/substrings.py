@@ -48,19 +48,21 @@ def _anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int
     at = np.arange(n - ANCHOR + 1)
     h = span_hash(total, at, at + ANCHOR)
     width = length - ANCHOR + 1
-    # Least of each `width` neighbours, and the leftmost place of it: from the left within blocks, and from the right.
+    # Hashes are compared by their upper 56 bits, ties by place: the lowest byte holds the place within a block of `width`.
+    # So a window's anchor depends on the window alone. Least of `width` neighbours: from the left within blocks, and from the right.
     blocks = -(-len(h) // width)
     grid = np.full(blocks * width, np.uint64(0xFFFFFFFFFFFFFFFF))
-    grid[: len(h)] = h
-    grid, spot = grid.reshape(blocks, width), np.arange(blocks * width).reshape(blocks, width)
-    left = np.minimum.accumulate(grid, axis=1)
-    fresh = np.ones_like(grid, bool)
-    fresh[:, 1:] = left[:, 1:] < left[:, :-1]
-    left_at = np.maximum.accumulate(np.where(fresh, spot, 0), axis=1).ravel()
-    right = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1]
-    right_at = np.minimum.accumulate(np.where(grid == right, spot, blocks * width)[:, ::-1], axis=1)[:, ::-1].ravel()
+    grid[: len(h)] = h & np.uint64(0xFFFFFFFFFFFFFF00)
+    grid = grid.reshape(blocks, width)
+    grid |= np.arange(width, dtype=np.uint64)
     m = n - length + 1
-    place = np.where(right.ravel()[:m] <= left.ravel()[width - 1 : width - 1 + m], right_at[:m], left_at[width - 1 : width - 1 + m])
+    right = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()[:m]
+    left = np.minimum.accumulate(grid, axis=1).ravel()[width - 1 : width - 1 + m]
+    first = np.arange(m) // width * width
+    after = right >> np.uint64(8) > left >> np.uint64(8)
+    # A window that begins a block is in it whole.
+    first[after] += width
+    place = first + (np.where(after, left, right) & np.uint64(255)).astype(np.int64)
     sizes = ends - starts
     windows = np.maximum(sizes - length + 1, 0)
     text = np.repeat(np.arange(len(starts)), windows)
@@ -223,11 +225,11 @@ def repeated_spans(texts: DataFrame, length: int, rows: int) -> DataFrame:
     kinds = pieces.groupBy("anchor", "piece").agg(F.count_distinct("k", "at").alias("n"))
     spots = pieces.select("piece", "k", "at").distinct()
     unique = pieces.where("body is not null").groupBy("anchor", "piece").agg(F.min("body").alias("body"), F.min("pivot").alias("pivot"))
-    level, count = unique.join(kinds, ["anchor", "piece"]), pieces.count()
+    level, per, count = unique.join(kinds, ["anchor", "piece"]), kinds, pieces.count()
     ready, links = [], []
     for width in WIDTHS:
         # At most one anchor in HOT pieces, so the table of them is small.
-        hot = cut(level.groupBy("anchor").agg(F.count(F.lit(1)).alias("pieces")).where(F.col("pieces") > HOT).select("anchor"), "substring-hot")
+        hot = cut(per.groupBy("anchor").agg(F.count(F.lit(1)).alias("pieces")).where(F.col("pieces") > HOT).select("anchor"), "substring-hot")
         if hot.isEmpty():
             break
         ready.append(level.join(F.broadcast(hot), "anchor", "left_anti"))
@@ -236,7 +238,7 @@ def repeated_spans(texts: DataFrame, length: int, rows: int) -> DataFrame:
         links.append(parts.select("piece", "of", "shift"))
         merged = parts.groupBy("anchor", "piece").agg(F.sum("n").alias("n"), F.min("pivot").alias("pivot"), F.min("body").alias("body"))
         alone = parts.groupBy("anchor").agg(F.sum("n").alias("n"), F.min("piece").alias("piece")).where("n = 1").select("anchor", "piece")
-        level = cut(merged.join(alone, ["anchor", "piece"], "left_anti"), "substring-parts")
+        level = per = cut(merged.join(alone, ["anchor", "piece"], "left_anti"), "substring-parts")
         count += level.count()
     ready.append(level)
     shards = int(min(100_000, max(8, count // PIECES)))
