@@ -27,4 +27,4 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-from . import clocks, intervals, library, relational, retrieval, scalars, search, sequences, shots, sounds, tail, transcripts  # noqa: E402, F401
+from . import clocks, facts, intervals, library, relational, retrieval, scalars, search, sequences, shots, sounds, tail, transcripts  # noqa: E402, F401
