@@ -29,7 +29,12 @@ def _joined(docs: DataFrame, verdicts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the classifier scores at THRESHOLD or more; each row is judged by its own text."""
+    """Rows that the classifier scores at THRESHOLD or more; each row is judged by its own text.
+
+    Null and empty texts have a score like others. Rows that share an id, null included, are judged one by one; labels of
+    their id count for each of them. An empty table gives an empty result. Columns other than doc_id and text pass
+    through, whatever their names.
+    """
     rows = _keyed(docs)
     known = load(spark, sf_dir, "labels").where(~queries.held_out()).select(F.col("doc_id").alias("key"), F.col("quality").alias("label"))
     feats = cut(quality.features(rows.select(F.struct(*KEY).alias("row"), "text"), "row"), "quality-features")
@@ -41,7 +46,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of rows that similarity links join, one of the smallest id (five words, similarity 0.8).
 
-    Null ids come last. Texts without words are linked with nothing, so all their rows stay.
+    Null ids come last. Texts without words, null ones too, are linked with nothing, so all their rows stay. Of rows equal
+    in id and text the least of their other columns stays. An empty table gives an empty result.
     """
     rows = _keyed(docs)
     words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
@@ -56,12 +62,20 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that hold too little of the benchmark to count as contaminated."""
+    """Rows that hold too little of the benchmark to count as contaminated.
+
+    Null and empty texts are clean; repeated rows and rows that share an id are judged by their own text. An empty table,
+    or an empty benchmark, drops nothing.
+    """
     return decontam.decontaminate(docs, load(spark, sf_dir, "benchmark")).where(~F.col("contaminated")).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as the mix takes it; of rows equal in id, source and text, the first in order of the other columns take the more."""
+    """Each row as often as the mix takes it; of rows equal in id, source and text, the first in order of the other columns take the more.
+
+    Rows of null source form one source. Texts without words cost nothing and are taken as their place in the order says;
+    a source without words gives no rows. An empty table gives an empty result.
+    """
     keys = [*KEY, "source"]
     rows = _keyed(docs)
     sizes = rows.select(F.col("doc_id").alias("id"), "source", mixing.word_count(F.col("text")).alias("size"), *KEY)
@@ -78,5 +92,5 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows with their shard and slot."""
+    """All rows with their shard and slot; columns of these names are replaced. An empty table gives an empty result."""
     return sharding.shard(docs, queries.SHARDS, seed=17)
