@@ -153,3 +153,40 @@ def snippet(flat: Column, ranges: Column, size: int = SNIPPET) -> Column:
 
     one = F.transform(F.transform(F.array(F.struct(flat.alias("t"), ranges.alias("r"))), made), cut)
     return F.when(F.length(flat) <= size, flat).otherwise(F.get(one, F.lit(0)))
+
+
+def recognised_fold(c: Column) -> Column:
+    """The search form of recognised text: folded, with ligatures spelled out."""
+    out = fold_all(c)
+    for one, more in (("œ", "oe"), ("æ", "ae")):
+        out = F.replace(out, F.lit(one), F.lit(more))
+    return out
+
+
+def sentence_case(title: Column, proper: Column) -> Column:
+    """A title in sentence case: capitalised words after the first are lowered unless they are names.
+
+    proper: array of names of the inputs; they count in the singular and the plural, without accents. Words with capitals
+    inside or only capitals stay. After an apostrophe the part that follows is judged. The first word with a letter or digit
+    gets its capital if it has none.
+    """
+    names = F.transform(proper, fold_all)
+    parts = F.split(title, r"(?<=\s)|(?=\s)")
+    has = lambda p: p.rlike(r"[\p{L}\p{N}]")
+
+    def judged(all_: Column) -> Column:
+        first = F.array_min(F.filter(F.transform(all_, lambda p, i: F.when(has(p), i)), lambda i: i.isNotNull()))
+
+        def word(p: Column, i: Column) -> Column:
+            core = F.regexp_extract(p, r"([\p{L}\p{N}]+)[^\p{L}\p{N}]*$", 1)
+            key = fold_all(core)
+            name = F.exists(names, lambda n: (n == key) | (n == F.concat(key, F.lit("s"))) | (n == F.regexp_replace(key, "s$", "")))
+            lower = core.rlike(r"^\p{Lu}[^\p{Lu}]*$") & core.rlike(r"\p{Ll}|^.$") & ~((F.length(core) == 1) & core.rlike(r"^\p{Lu}$")) & ~name
+            lowered = F.concat(F.regexp_extract(p, r"^(.*?)[\p{L}\p{N}]+[^\p{L}\p{N}]*$", 1), F.lower(core), F.regexp_extract(p, r"[\p{L}\p{N}]([^\p{L}\p{N}]*)$", 1))
+            lead = F.regexp_extract(p, r"^([^\p{L}\p{N}]*)", 1)
+            begun = F.concat(lead, F.upper(F.substring(p, F.length(lead) + 1, F.lit(1))), F.substring(p, F.length(lead) + 2, F.length(p)))
+            return F.when(~has(p), p).when(i == first, F.when(p.rlike(r"\p{Lu}"), p).otherwise(begun)).otherwise(F.when(lower, lowered).otherwise(p))
+
+        return F.array_join(F.transform(all_, word), "")
+
+    return F.get(F.transform(F.array(parts), judged), F.lit(0))

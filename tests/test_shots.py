@@ -3,6 +3,7 @@
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillspark.functions import search_words as W
 from quillspark.plans import search as search_plans
@@ -176,3 +177,10 @@ def test_phase_windows(spark, small):
             assert r["low"] > -0.833 and set(names) <= {"day", "golden_hour"}
         if r["high"] < -18:
             assert names == ["night"]
+
+
+def test_sentence_case(spark):
+    rows = [("Coucher de Soleil au Lac", []), ("porte de l'Himalaya et Népal", ["HIMALAYAS", "NEPAL"]), ("« le Chat » PowerPoint IA", []), ("12 Mois d'Époque", []), ("iPhone à Hyères", ["Hyeres"]), ("", [])]
+    got = spark.createDataFrame([(i, t, p) for i, (t, p) in enumerate(rows)], "i int, t string, p array<string>").select("i", W.sentence_case(F.col("t"), F.col("p")).alias("s")).orderBy("i").collect()
+    assert [r["s"] for r in got] == ["Coucher de soleil au lac", "Porte de l'Himalaya et Népal", "« Le chat » PowerPoint IA", "12 mois d'époque", "iPhone à Hyères", ""]
+    assert spark.range(1).select(W.recognised_fold(F.lit("ŒUVRE naïve Æ"))).first()[0] == "oeuvre naive ae"
