@@ -101,7 +101,7 @@ def speech_by_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("k", "block").agg(F.array_join(said, " ").alias("said"))
 
 
-@query(f"WITH {_WORDS} SELECT k, i FROM w WHERE EXISTS (SELECT 1 FROM w g WHERE g.k = w.k AND g.i % 2 = 0 AND (w.s + w.e) / 2 BETWEEN g.s - 0.5 AND g.e + 0.5) AND i % 2 = 1")
+@query(f"WITH {_WORDS} SELECT DISTINCT k, i FROM w WHERE EXISTS (SELECT 1 FROM w g WHERE g.k = w.k AND g.i % 2 = 0 AND (w.s + w.e) / 2 BETWEEN g.s - 0.5 AND g.e + 0.5) AND i % 2 = 1")
 def midpoints_within(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words whose middle lies in a gap: both are dealt to buckets of four seconds."""
     rows = words(spark, sf_dir)

@@ -118,11 +118,11 @@ par AS (SELECT unnest(['talk', 'voice', 'talk']) AS class, unnest(['voice', 'voi
 kept AS (SELECT * FROM ev WHERE NOT EXISTS (SELECT 1 FROM ev x JOIN par ON par.class = x.class WHERE x.video = ev.video AND par.ancestor = ev.class AND x.s < ev.e AND ev.s < x.e))"""
 
 
-@query(f"WITH {_FRAMES}, {_EVENTS} SELECT video, class, round(s, 2) AS s, round(e, 2) AS e, round(peak, 3) AS peak, round(mean, 3) AS mean FROM kept QUALIFY row_number() OVER (PARTITION BY video ORDER BY peak DESC, s, class) <= 12")
+@query(f"WITH {_FRAMES}, {_EVENTS} SELECT video, class, round(s, 2) AS s, round(e, 2) AS e, round(peak, 3) AS peak, round(mean + 1e-7::DOUBLE, 3) AS mean FROM kept QUALIFY row_number() OVER (PARTITION BY video ORDER BY peak DESC, s, class) <= 12")
 def sound_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     parents = F.broadcast(spark.createDataFrame(PARENTS, "class string, ancestor string"))
     found = A.events(scores(spark, sf_dir), parents)
-    return found.select("video", "class", F.round("s", 2).alias("s"), F.round("e", 2).alias("e"), F.round("peak", 3).alias("peak"), F.round("mean", 3).alias("mean"))
+    return found.select("video", "class", F.round("s", 2).alias("s"), F.round("e", 2).alias("e"), F.round("peak", 3).alias("peak"), F.round(F.col("mean") + 1e-7, 3).alias("mean"))
 
 
 @query(f"""WITH {_FRAMES}, l AS (SELECT video, class, sum(CASE WHEN score >= 0.2 THEN e - s ELSE 0 END) AS seconds, max(score) AS peak FROM score GROUP BY ALL HAVING sum(CASE WHEN score >= 0.2 THEN e - s ELSE 0 END) >= 0.95::DOUBLE - 1e-9::DOUBLE)
