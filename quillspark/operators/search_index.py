@@ -44,7 +44,12 @@ def ensure(docs: DataFrame, key: str, text: str, name: str) -> str:
 
 def build(docs: DataFrame, key: str, text: str, path: str) -> None:
     """postings (folder, term, key, tf, len, places) and stats (n, avg_len). Documents without words count in the statistics."""
-    held = docs.select(F.col(key).alias("key"), tokens(F.col(text)).alias("t"))
+    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    # A table of fewer splits than cores is dealt out first; a large one is not moved.
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    if texts.rdd.getNumPartitions() < cores:
+        texts = texts.repartition(cores)
+    held = texts.select("key", tokens(F.col("text")).alias("t"))
     # Bound once, so that the words are not made again for the length and for each place.
     rows = held.select("key", F.inline(F.transform(F.array("t"), lambda t: F.struct(F.size(t).alias("len"), t.alias("words")))))
     each = rows.select("key", "len", F.posexplode("words").alias("pos", "term"))
@@ -52,8 +57,10 @@ def build(docs: DataFrame, key: str, text: str, path: str) -> None:
     post = post.select("term", "key", F.size("places").alias("tf"), "len", "places", _folder(F.col("term")).alias("folder"))
     # A folder is written by several tasks, each sorted by term, so that row groups are skipped by their bounds.
     post.repartition("folder", F.pmod(F.xxhash64("term"), F.lit(16))).sortWithinPartitions("folder", "term").write.mode("overwrite").partitionBy("folder").parquet(f"{path}/postings")
-    sizes = docs.select(F.size(tokens(F.col(text))).alias("len"))
-    sizes.agg(F.count(F.lit(1)).alias("n"), F.avg(F.greatest("len", F.lit(0))).alias("avg_len")).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+    # All words of all documents are in the postings, so the lengths need no second reading of the texts.
+    words = docs.sparkSession.read.parquet(f"{path}/postings").agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("words"))
+    stats = docs.agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(words))
+    stats.select("n", (F.col("words") / F.col("n")).alias("avg_len")).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
 
 
 def postings(docs: DataFrame, path: str, terms: Sequence[str]) -> DataFrame:
