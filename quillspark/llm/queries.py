@@ -127,12 +127,16 @@ FROM m GROUP BY doc_id
 """,
     "op11_hat_trie_collocations": r"""
 WITH p AS (
-  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+  SELECT lang, row_number() OVER () AS pid, string_split(piece, ' ') AS ws FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ,;:!?' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), 'abcdefghijklmnopqrstuvwxyz.....' || ' ....'), '.')) AS piece FROM documents)
+), u AS (
+  SELECT lang, pid, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM p
 ), w AS (
-  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p
+  SELECT lang, w AS w1, lead(w, 1) OVER here AS w2, lead(w, 2) OVER here AS w3 FROM u WHERE w <> '' WINDOW here AS (PARTITION BY pid ORDER BY i)
 ), g AS (
-  SELECT lang, m, array_to_string(list_slice(ws, i, i + m - 1), ' ') AS phrase
-  FROM (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM w, (VALUES (1), (2), (3)) AS s(m))
+  SELECT lang, 1 AS m, w1 AS phrase FROM w
+  UNION ALL SELECT lang, 2, w1 || ' ' || w2 FROM w WHERE w2 IS NOT NULL
+  UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3 FROM w WHERE w3 IS NOT NULL
 ), f AS (
   SELECT lang, m, phrase, count(*) AS n FROM g GROUP BY ALL
 ), t AS (
@@ -175,7 +179,7 @@ WITH RECURSIVE tab AS (
   UNION ALL
   SELECT tree, level + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM own) WHERE n > 1 GROUP BY tree, level, pos // 8
 ), subs AS (
-  SELECT tree, h AS subroot, level AS height, row_number() OVER (ORDER BY encode(tree)) - 1 AS pos FROM own QUALIFY level = max(level) OVER (PARTITION BY tree)
+  SELECT tree, h AS subroot, level AS height, row_number() OVER (ORDER BY encode(tree)) - 1 AS pos FROM (SELECT * FROM own QUALIFY level = max(level) OVER (PARTITION BY tree))
 ), top AS (
   SELECT 0 AS level, pos, subroot AS h FROM subs
   UNION ALL
