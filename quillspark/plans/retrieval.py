@@ -32,15 +32,13 @@ q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = {PROBE}),
 c AS (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]) AS similarity FROM embeddings, q WHERE vec_id <> {PROBE})"""
 
 
-def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
-    docs = load(spark, sf_dir, "documents")
-    return docs, X.ensure(docs, "doc_id", "text", "words")
+def _index(spark: SparkSession, sf_dir: str) -> X.WordIndex:
+    return X.ensure(load(spark, sf_dir, "documents"), "doc_id", "text", "words")
 
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Ranked by the rounded score, shown from the exact one.
-    docs, path = _index(spark, sf_dir)
-    return S.ranked(X.bm25(docs, path, TERMS, "doc_id").withColumn("near", F.round("score", 9)), "near", "doc_id", 200)
+    return S.ranked(X.bm25(_index(spark, sf_dir), [(t,) for t in TERMS], "doc_id").withColumn("near", F.round("score", 9)), "near", "doc_id", 200)
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,14 +52,12 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id FROM documents WHERE len(list_filter({TOKENS}, lambda t: starts_with(t, 'thend'))) > 0")
 def prefix_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, path = _index(spark, sf_dir)
-    return X.postings(docs, path, ["thend*"]).select(F.col("key").alias("doc_id")).distinct()
+    return _index(spark, sf_dir).postings(["thend*"]).select(F.col("key").alias("doc_id")).distinct()
 
 
 @query(f"SELECT doc_id FROM documents WHERE contains(' ' || array_to_string({TOKENS}, ' ') || ' ', ' of the ')")
 def phrase_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, path = _index(spark, sf_dir)
-    return X.phrase(docs, path, ["of", "the"], "doc_id").select("doc_id")
+    return X.phrase(_index(spark, sf_dir), ["of", "the"], "doc_id").select("doc_id")
 
 
 @query(f"WITH {_COS} SELECT vec_id, round(similarity, 6) AS similarity FROM c ORDER BY round(c.similarity, 9) DESC, vec_id LIMIT 200")
@@ -124,8 +120,7 @@ def facet_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 f AS (SELECT term, count(*) AS df FROM d GROUP BY term) SELECT term, df FROM f, n WHERE df > 1 AND df <= greatest(2, 0.6 * n)""")
 def vocabulary_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms of more than one and at most 60 % of the documents; the count of documents is one broadcast row."""
-    docs, path = _index(spark, sf_dir)
-    return X.vocabulary(docs, path).where((F.col("df") > 1) & (F.col("df") <= F.greatest(F.lit(2.0), 0.6 * F.col("n")))).select("term", "df")
+    return X.vocabulary(_index(spark, sf_dir)).where((F.col("df") > 1) & (F.col("df") <= F.greatest(F.lit(2.0), 0.6 * F.col("n")))).select("term", "df")
 
 
 @query(f"""WITH h AS (SELECT doc_id, d.lang, {', '.join(f"len(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda t: list_contains({words}, t))) AS {x}" for x, words in T.FUNCTION_WORDS.items())} FROM documents d)

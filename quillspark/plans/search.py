@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import search_words as W
 from ..operators import retrieval as S
 from ..operators import search_index as X
+from ..session import shared_path
 from .registry import load, query
 
 _SOURCE, _PLAIN = (x.replace("'", "''") for x in W.fold_table())
@@ -98,3 +101,33 @@ def hit_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = load(spark, sf_dir, "documents").withColumn("r", F.row_number().over(w)).where("r <= 50")
     rows = hits.join(load(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
     return rows.select("doc_id", F.coalesce(F.col("quality").cast("string"), "source", F.lit("untitled")).alias("title"), F.bround(F.col("n_chars") / 7.0, 6).alias("score"))
+
+
+#: A phrase, a beginning of four letters or more, a short word that must be whole, and a common word that is not searched.
+ASKED = 'the "of the" thend ea'
+_BM25 = f"""t AS (SELECT doc_id, regexp_extract_all({_fold("coalesce(text, '')")}, '[\\p{{L}}\\p{{N}}\\p{{Co}}]+') AS t FROM shown),
+w AS (SELECT doc_id, w, lead(w) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM (SELECT doc_id, unnest(t) AS w, generate_subscripts(t, 1) AS i FROM t)),
+h AS (SELECT doc_id, count(*) FILTER (w = 'of' AND nxt = 'the') AS f0, count(*) FILTER (starts_with(w, 'thend')) AS f1, count(*) FILTER (w = 'ea') AS f2 FROM w GROUP BY doc_id),
+f AS (SELECT t.doc_id, len(t.t) AS l, coalesce(f0, 0) AS f0, coalesce(f1, 0) AS f1, coalesce(f2, 0) AS f2 FROM t LEFT JOIN h ON h.doc_id = t.doc_id),
+g AS (SELECT count(*) AS n, avg(l) AS a, count(*) FILTER (f0 > 0) AS d0, count(*) FILTER (f1 > 0) AS d1, count(*) FILTER (f2 > 0) AS d2 FROM f),
+b AS (SELECT doc_id, {" + ".join(f"greatest(ln((n - d{i} + 0.5::DOUBLE) / (d{i} + 0.5::DOUBLE)), 1e-6::DOUBLE) * f{i} * 2.2::DOUBLE / (f{i} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / a))" for i in range(3))} AS score FROM f, g WHERE f0 + f1 + f2 > 0)
+SELECT doc_id, round(score, 6) AS score FROM b"""
+
+
+@query(f"WITH shown AS (SELECT doc_id, text FROM documents), {_BM25}")
+def search_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query string with a phrase, a beginning and a short word, scored in one sum over the stored index."""
+    index = X.ensure(load(spark, sf_dir, "documents"), "doc_id", "text", "search", X.index_words)
+    return X.search(index, ASKED, "doc_id").select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH shown AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN text || ' of the thendea ea' ELSE text END AS text FROM documents WHERE doc_id % 11 <> 0), {_BM25}")
+def index_after_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same query over an index that followed its table: documents were added, then edited and removed, a segment each."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    index = X.WordIndex(spark, shared_path(spark, f"edited-{uuid.uuid4().hex}"))
+    index.refresh(docs.where("doc_id % 7 <> 0"), "doc_id", "text")
+    index.refresh(docs, "doc_id", "text")
+    edited = docs.withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit(" of the thendea ea"))).otherwise(F.col("text")))
+    index.refresh(edited.where("doc_id % 11 <> 0"), "doc_id", "text")
+    return X.search(index, ASKED, "doc_id").select("doc_id", F.round("score", 6).alias("score"))
