@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from collections.abc import Sequence
 from functools import reduce
 
@@ -112,20 +114,29 @@ def path_key(path: Column) -> Column:
     return F.lower(F.concat(lead, F.array_join(F.aggregate(parts, F.array().cast("array<string>"), up), "/")))
 
 
-def next_version(wanted: DataFrame, existing: DataFrame, name: str) -> DataFrame:
-    """(name, versioned): the name with one more than the highest version that exists of it."""
-    ending = r"^(.*?)\s*-\s*vfe v(\d+)\s*$"
+def next_version(wanted: DataFrame, existing: DataFrame, name: str, mark: str, untitled: str) -> DataFrame:
+    """(name, versioned): the name with one more than the highest version that exists of it.
+
+    Versions end in ` - <mark> v<number>`; a name that is nothing else is called `untitled`.
+    """
+    ending = rf"^(.*?)\s*-\s*{re.escape(mark)} v(\d+)\s*$"
     base = lambda c: F.when(c.rlike(ending), F.trim(F.regexp_extract(c, ending, 1))).otherwise(F.trim(c))
     last = existing.where(F.col(name).rlike(ending)).groupBy(base(F.col(name)).alias("__base")).agg(F.max(F.regexp_extract(name, ending, 2).cast("long")).alias("__n"))
-    return wanted.withColumn("__base", base(F.col(name))).join(last, "__base", "left").select(name, F.concat(F.when(F.col("__base") == "", "Montage").otherwise(F.col("__base")), F.lit(" - vfe v"), (F.coalesce("__n", F.lit(0)) + 1).cast("string")).alias("versioned"))
+    return wanted.withColumn("__base", base(F.col(name))).join(last, "__base", "left").select(name, F.concat(F.when(F.col("__base") == "", untitled).otherwise(F.col("__base")), F.lit(f" - {mark} v"), (F.coalesce("__n", F.lit(0)) + 1).cast("string")).alias("versioned"))
 
 
-def clean_fixed(c: Column, rounds: int = 4) -> Column:
-    """Text without controls, bidirectional formats and markup, to the fixed point of removing tags `rounds` deep."""
+def clean_fixed(c: Column) -> Column:
+    """Text without controls, bidirectional formats and markup; markup that is made up by taking out other markup goes, too.
+
+    A tag holds no angle bracket, so a text of n opening brackets is fixed after n rounds at most; rounds stop changing
+    the text once no tag is left.
+    """
     bare = F.regexp_replace(c, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]|[​-‏‪-‮⁦-⁩]", "")
-    for _ in range(rounds):
-        bare = F.regexp_replace(bare, r"</?[A-Za-z][^<>]*>", "")
-    return F.trim(F.regexp_replace(bare, r"[ \t\r\n]+", " "))
+    tag = r"</?[A-Za-z][^<>]*>"
+    once = lambda t: F.regexp_replace(t, tag, "")
+    opened = F.length(bare) - F.length(F.replace(bare, F.lit("<"), F.lit("")))
+    fixed = F.aggregate(F.sequence(F.lit(1), F.greatest(opened, F.lit(1))), once(bare), lambda t, _: F.when(t.rlike(tag), once(t)).otherwise(t))
+    return F.trim(F.regexp_replace(fixed, r"[ \t\r\n]+", " "))
 
 
 def closure(edges: DataFrame, a: str, b: str, write, most: int = 64) -> DataFrame:  # noqa: ANN001

@@ -136,21 +136,26 @@ def merge_short(df: DataFrame, keys: Sequence[str], start: str, end: str) -> Dat
 
 
 def context_clips(df: DataFrame, keys: Sequence[str], start: str, end: str, duration: str) -> DataFrame:
-    """(keys, a, b, gaps): gaps padded and put together while a clip stays within CLIP_MAX_S or they touch."""
+    """(keys, a, b, gaps): gaps widened by CLIP_PAD_S within the video and dealt to clips.
 
-    def fold(pdf: pd.DataFrame) -> Iterator[tuple]:
-        out: list[list] = []
-        for s, e, d in zip(pdf[start], pdf[end], pdf[duration], strict=True):
-            low, high = max(0.0, s - CLIP_PAD_S), min(d, e + CLIP_PAD_S)
-            if high > low:
-                if out and (low <= out[-1][1] or high - out[-1][0] <= CLIP_MAX_S):
-                    out[-1][1:] = [max(out[-1][1], high), out[-1][2] + 1]
-                else:
-                    out.append([low, high, 1])
-        for a, b, n in out:
-            yield round(float(a), 3), round(float(b), 3), n
+    From left to right, a gap goes into the open clip if the two meet or the clip stays within CLIP_MAX_S; else it opens
+    the next one. One array expression a key; gaps that are empty once widened are left out.
+    """
+    wide = df.withColumns({"__a": F.greatest(F.lit(0.0), F.col(start) - CLIP_PAD_S), "__b": F.least(F.col(duration).cast("double"), F.col(end) + CLIP_PAD_S)}).where("__b > __a")
+    rows = wide.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(start).alias("s"), F.col(end).alias("e"), F.col("__a").alias("a"), F.col("__b").alias("b")))).alias("__gaps"))
+    clip = lambda a, b, n: F.struct(F.coalesce(a, F.lit(0.0)).alias("a"), F.coalesce(b, F.lit(0.0)).alias("b"), n.cast("int").alias("gaps"))
+    none = F.array().cast("array<struct<a:double,b:double,gaps:int>>")
+    begin = F.struct(none.alias("closed"), clip(F.lit(0.0), F.lit(0.0), F.lit(0)).alias("open"))
 
-    return _folded(df, keys, fold, "a double, b double, gaps int", [start, end])
+    def deal(s: Column, gap: Column) -> Column:
+        now = s["open"]
+        fits = (now["gaps"] > 0) & ((gap["a"] <= now["b"]) | (gap["b"] - now["a"] <= CLIP_MAX_S))
+        grown = F.struct(s["closed"].alias("closed"), clip(now["a"], F.greatest(now["b"], gap["b"]), now["gaps"] + 1).alias("open"))
+        opened = F.struct(F.when(now["gaps"] > 0, F.array_append(s["closed"], now)).otherwise(s["closed"]).alias("closed"), clip(gap["a"], gap["b"], F.lit(1)).alias("open"))
+        return F.when(fits, grown).otherwise(opened)
+
+    clips = F.aggregate("__gaps", begin, deal, lambda s: F.array_append(s["closed"], s["open"]))
+    return rows.select(*keys, F.inline(clips)).select(*keys, F.round("a", 3).alias("a"), F.round("b", 3).alias("b"), "gaps")
 
 
 def packed(df: DataFrame, keys: Sequence[str], order: str, size: str, most: int, chars: int) -> DataFrame:
@@ -167,17 +172,38 @@ def packed(df: DataFrame, keys: Sequence[str], order: str, size: str, most: int,
     return _folded(df, keys, fold, f"{order} long, batch int", [order])
 
 
-def _wrapped(text: str) -> int:
-    lines, line = 0, ""
-    for token in text.split():
-        while len(token) > MAX_LINE:
-            lines, line, token = lines + (line != "") + 1, "", token[MAX_LINE:]
-        if token:
-            if line and len(line) + 1 + len(token) > MAX_LINE:
-                lines, line = lines + 1, token
-            else:
-                line = f"{line} {token}" if line else token
-    return lines + (line != "")
+def _line_counts(texts: Sequence[str]) -> np.ndarray:
+    """How many lines of MAX_LINE characters the first 1, 2, ... texts fill."""
+    lines, used, out = 1, -1, []
+    for text in texts:
+        for token in text.split():
+            used += 1 + len(token)
+            if used > MAX_LINE and used > len(token):
+                lines, used = lines + 1, len(token)
+            over = max(0, -(-used // MAX_LINE) - 1)
+            lines, used = lines + over, used - over * MAX_LINE
+        out.append(lines)
+    return np.array(out)
+
+
+def _cue_end(i: int, starts: np.ndarray, ends: np.ndarray, texts: list[str]) -> int:
+    """Where the cue that begins with word i ends: the first word after it that may not join.
+
+    Each rule is a mask over the words that begin within MAX_CUE_S.
+    """
+    stop = min(len(starts), int(np.searchsorted(starts, starts[i] + MAX_CUE_S, "right")) + 1)
+    held, later = slice(i, stop - 1), slice(i + 1, stop)
+    if i + 1 >= stop:
+        return stop
+    until = np.maximum.accumulate(ends[i:stop])
+    said = texts[i : stop - 1]
+    chars = np.cumsum([len(t) + 1 for t in said]) - 1
+    full = np.array([t.endswith(SENTENCE_END) for t in said]) & (until[:-1] - starts[i] >= MIN_CUE_S)
+    soft = np.array([t.endswith(SOFT_END) for t in said]) & (chars > MAX_LINE)
+    apart = starts[later] - until[:-1] > GAP_SPLIT_S
+    long = (until[1:] - starts[i] > MAX_CUE_S) | (_line_counts(texts[i:stop])[1:] > MAX_LINES)
+    found = np.flatnonzero(full | soft | apart | long)
+    return i + 1 + int(found[0]) if len(found) else max(stop, held.stop)
 
 
 def cues(words: DataFrame, keys: Sequence[str], start: str, end: str, text: str) -> DataFrame:
@@ -188,25 +214,18 @@ def cues(words: DataFrame, keys: Sequence[str], start: str, end: str, text: str)
     """
 
     def fold(pdf: pd.DataFrame) -> Iterator[tuple]:
-        groups: list[list[tuple]] = []
-        for w in zip(pdf[start], pdf[end], pdf[text], strict=True):
-            if groups:
-                now = groups[-1]
-                said, until, last = " ".join(x[2] for x in now), max(x[1] for x in now), now[-1][2]
-                too_long = _wrapped(f"{said} {w[2]}") > MAX_LINES or max(until, w[1]) - now[0][0] > MAX_CUE_S
-                ended = last.endswith(SENTENCE_END) and until - now[0][0] >= MIN_CUE_S or last.endswith(SOFT_END) and len(said) > MAX_LINE
-                if w[0] - until <= GAP_SPLIT_S and not too_long and not ended:
-                    now.append(w)
-                    continue
-            groups.append([w])
-        floor = 0.0
-        for i, g in enumerate(groups):
-            a = max(g[0][0], floor)
-            b = max(a + MIN_CUE_S, *(x[1] for x in g))
-            if i + 1 < len(groups):
-                b = min(b, groups[i + 1][0][0])
-            floor = max(b, a + MIN_VISIBLE_S)
-            yield i + 1, round(float(a), 3), round(float(floor), 3), " ".join(x[2] for x in g)
+        starts, ends, texts = pdf[start].to_numpy(float), pdf[end].to_numpy(float), pdf[text].tolist()
+        heads = [0]
+        while (after := _cue_end(heads[-1], starts, ends, texts)) < len(texts):
+            heads.append(after)
+        tails = [*heads[1:], len(texts)]
+        # When a cue would begin and end if it were alone, and when the next one wants to begin.
+        begin, last = starts[heads], np.maximum.reduceat(ends, heads)
+        limit, shown = np.append(begin[1:], np.inf), 0.0
+        for no, (a, b) in enumerate(zip(heads, tails, strict=True)):
+            at = max(begin[no], shown)
+            shown = max(at + MIN_VISIBLE_S, min(limit[no], max(at + MIN_CUE_S, last[no])))
+            yield no + 1, round(float(at), 3), round(float(shown), 3), " ".join(texts[a:b])
 
     return _folded(words, keys, fold, "no int, a double, b double, line string", [start, end])
 
@@ -279,30 +298,35 @@ def choose_passages(candidates: DataFrame, keys: Sequence[str], budget: int, mos
     ship(candidates.sparkSession)
     schema = candidates.select(*keys).schema.add("rank", "long").add("place", "integer")
 
-    def shared(p: tuple, q: tuple) -> float:
-        if p[2] != p[2] or q[2] != q[2]:
-            return float(p[2] != p[2] and q[2] != q[2])
-        both, shorter = min(p[3], q[3]) - max(p[2], q[2]), min(p[3] - p[2], q[3] - q[2])
-        return float(both >= 0) if shorter <= 0 else max(0.0, both) / shorter
+    def clashes(pdf: pd.DataFrame) -> np.ndarray:
+        """Pairs of which only one is read."""
+        same = (pdf["video"].to_numpy()[:, None] == pdf["video"].to_numpy()) & (pdf["family"].to_numpy()[:, None] == pdf["family"].to_numpy())
+        a, b = pdf["a"].to_numpy(float), pdf["b"].to_numpy(float)
+        timed = ~(np.isnan(a)[:, None] | np.isnan(a))
+        both = np.minimum.outer(b, b) - np.maximum.outer(a, a)
+        half = np.minimum.outer(b - a, b - a) / 2
+        # Points are inside a stretch that they touch.
+        near = np.where(half > 0, both >= half, both >= 0)
+        return same & np.where(timed, near, np.isnan(a)[:, None] & np.isnan(a))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rank")
-        own, rows = tuple(pdf.iloc[0][list(keys)]), list(pdf[["video", "family", "a", "b", "tokens", "rank"]].itertuples(index=False, name=None))
-        taken, count, left, open_ = [], {}, budget, list(range(len(rows)))
-        while open_ and len(taken) < most:
-            best = min(open_, key=lambda i: (i + penalty * count.get(rows[i][0], 0), i))
-            open_.remove(best)
-            r = rows[best]
-            if r[4] > left or any(r[:2] == rows[i][:2] and shared(r, rows[i]) >= 0.5 for i in taken):
-                continue
+        pdf = pdf.sort_values("rank").reset_index(drop=True)
+        n, tokens = len(pdf), pdf["tokens"].to_numpy(np.int64)
+        video = pd.factorize(pdf["video"], use_na_sentinel=False)[0]
+        clash, place, open_, left, taken = clashes(pdf), np.arange(n), np.ones(n, bool), budget, []
+        # What clashes with a passage that is read, or no longer fits, never comes back.
+        while len(taken) < most and (open_ := open_ & (tokens <= left)).any():
+            best = int(np.flatnonzero(open_)[np.argmin(place[open_])])
             taken.append(best)
-            left -= r[4]
-            count[r[0]] = count.get(r[0], 0) + 1
-        first = {}
-        for i in sorted(taken):
-            first.setdefault(rows[i][0], i)
-        told = sorted(taken, key=lambda i: (first[rows[i][0]], -1.0 if rows[i][2] != rows[i][2] else rows[i][2], i))
-        return pd.DataFrame([(*own, rows[i][5], p) for p, i in enumerate(told)], columns=schema.names)
+            left -= tokens[best]
+            open_ = open_ & ~clash[best]
+            open_[best] = False
+            place = place + penalty * (video == video[best])
+        chosen = pdf.loc[taken].assign(at=taken, group=video[taken])
+        chosen["first"] = chosen.groupby("group")["at"].transform("min") if taken else chosen["at"]
+        told = chosen.assign(start=chosen["a"].fillna(-1.0)).sort_values(["first", "start", "at"])
+        own = pdf.loc[0, list(keys)]
+        return pd.DataFrame({**{k: [own[k]] * len(told) for k in keys}, "rank": told["rank"].to_numpy(), "place": np.arange(len(told), dtype=np.int32)}, columns=schema.names)
 
     return candidates.groupBy(*keys).applyInPandas(run, schema)
 

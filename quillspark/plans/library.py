@@ -171,12 +171,12 @@ def path_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "pages").select("page_id", L.path_key(odd).alias("key"))
 
 
-@query(r"""WITH e AS (SELECT p_brand || ' - vfe v' || p_size AS name FROM part), x AS (SELECT regexp_extract(name, '^(.*) - vfe v', 1) AS base, max(regexp_extract(name, 'v(\d+)$', 1)::BIGINT) AS n FROM e GROUP BY base), w AS (SELECT DISTINCT p_brand AS name FROM part UNION SELECT DISTINCT p_type FROM part)
-SELECT w.name, w.name || ' - vfe v' || (coalesce(n, 0) + 1) AS versioned FROM w LEFT JOIN x ON x.base = w.name""")
+@query(r"""WITH e AS (SELECT p_brand || ' - cut v' || p_size AS name FROM part), x AS (SELECT regexp_extract(name, '^(.*) - cut v', 1) AS base, max(regexp_extract(name, 'v(\d+)$', 1)::BIGINT) AS n FROM e GROUP BY base), w AS (SELECT DISTINCT p_brand AS name FROM part UNION SELECT DISTINCT p_type FROM part)
+SELECT w.name, w.name || ' - cut v' || (coalesce(n, 0) + 1) AS versioned FROM w LEFT JOIN x ON x.base = w.name""")
 def next_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = load(spark, sf_dir, "part")
     wanted = part.select(F.col("p_brand").alias("name")).union(part.select("p_type")).distinct()
-    return L.next_version(wanted, part.select(F.concat("p_brand", F.lit(" - vfe v"), F.col("p_size").cast("string")).alias("name")), "name")
+    return L.next_version(wanted, part.select(F.concat("p_brand", F.lit(" - cut v"), F.col("p_size").cast("string")).alias("name")), "name", "cut", "Untitled")
 
 
 @query(r"""SELECT page_id, trim(regexp_replace(replace(replace(html, '<b>', ''), '</b>', ''), '[ \t\r\n]+', ' ', 'g')) AS text FROM (SELECT page_id, regexp_replace('<sp<b>an>' || coalesce(regexp_extract(html, '<title>([^<]*)</title>', 1), '') || '</sp</b>an>', '</?span>|</?sp<b>an>|</sp</b>an>', '', 'g') AS html FROM pages)""")
