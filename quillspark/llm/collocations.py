@@ -36,7 +36,7 @@ from .textnp import chunks
 BITS = 21
 ENTRIES, BURST, CHUNK = 1 << 20, 4096, 1 << 23
 LEAST_CELLS, MAX_CELLS = 1 << 16, 1 << 26
-HOT, PARTS, SALTS = 1000, 1 << 16, 64
+HOT, PARTS, SALTS, BANDS = 1000, 1 << 16, 64, 1000
 #: Odd factors under 2^28, so that sums of five products with a 32-bit checksum stay under 2^63.
 FACTORS = [0xB5297A5, 0x9E3779B, 0xC2B2AE3, 0x85EBCA7, 0xA7C1567]
 STOPS = ".,;:!?\n\x0b\x0c\r"
@@ -325,6 +325,15 @@ def covered(levels: dict[int, DataFrame], length: int) -> DataFrame | None:
     return reduce(DataFrame.unionByName, inside).groupBy("lang", "phrase").agg(F.max("n").alias("most"))
 
 
+def best_bands(rows: DataFrame, top: int, scale: int) -> DataFrame:
+    """The rows (lang, score, ...) of the BANDS bands of scores that can hold a language's first `top`, found by counts alone."""
+    band = F.floor(F.col("score") * BANDS / (scale + 1))
+    above = Window.partitionBy("lang").orderBy(F.desc("band")).rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("lang", band.alias("band")).agg(F.count(F.lit(1)).alias("n"))
+    open_ = counts.where("n > 0").withColumn("above", F.coalesce(F.sum("n").over(above), F.lit(0))).where(F.col("above") < top)
+    return rows.withColumn("band", band).join(open_.select("lang", "band"), ["lang", "band"], "left_semi").drop("band")
+
+
 def collocations(docs: DataFrame, max_words: int = 3, least: int = 10, cover: tuple[int, int] = (50, 100), top: int = 2000, scale: int = 1_000_000) -> DataFrame:
     """Each language's first `top` phrases: (lang, rank, phrase, a, l, r, n, score), all numbers long.
 
@@ -347,7 +356,8 @@ def collocations(docs: DataFrame, max_words: int = 3, least: int = 10, cover: tu
         if over is not None:
             rows = rows.join(over, ["lang", "phrase"], "left").where(~F.coalesce(F.col("most") * cover[1] >= F.col("a") * cover[0], F.lit(False))).drop("most")
         kept.append(rows)
-    rows = reduce(DataFrame.unionByName, kept).withColumn("salt", F.pmod(seeded(6, "phrase"), F.lit(SALTS)))
+    rows = cut(reduce(DataFrame.unionByName, kept), "phrases-scored")
+    rows = best_bands(rows, top, scale).withColumn("salt", F.pmod(seeded(6, "phrase"), F.lit(SALTS)))
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     few = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= top)
     best = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
