@@ -123,7 +123,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = 13, numerator: int
 
     A word is hit if it lies in an occurrence of an item's window; a document is contaminated if it has hits that make
     up numerator / denominator of its words. Items: (item_id, text); items without words are ignored, rows that
-    repeat an item id count as one item with the windows of each. Null and empty texts have no words and are clean.
+    repeat an item id count as one item with the windows of each. Rows of null item id are one item, whose windows
+    hit like others; it is the null at the end of hit_items. Null and empty texts have no words and are clean.
     Repeated rows get the same verdict. Other columns pass through; those that carry the new names are replaced.
     An empty items table leaves all clean.
     """
@@ -132,7 +133,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = 13, numerator: int
     own = [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]
     row = docs.select(F.struct(*own).alias("__row"), *text_key(F.col("text")), F.col("text").alias("__text"))
     split = words(F.col("__text")).alias("words")
-    bare = items.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("words")).where("item_id is not null")
+    bare = items.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("words"))
     # Rows of one item are told apart while windows are looked up.
     bare = bare.withColumn("item_id", F.struct("item_id", F.xxhash64("words").alias("row"))).distinct()
     found = find_windows(row.select("k1", "k2", split), bare, n)

@@ -32,11 +32,12 @@ _RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "no
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in _RAW}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
-_PRUNED = {"nav", "header", "footer", "aside", "form", "menu", "button", "select", "dialog", "svg", "canvas", "object", "audio", "video", "head", "input", "label", "datalist", "map"} | _RAW
+_PRUNED = {"nav", "header", "footer", "aside", "menu", "select", "dialog", "svg", "canvas", "object", "audio", "video", "head", "input", "datalist", "map"} | _RAW
+_CONTROLS = {"button", "label"}
 _CLOSES_P = _BLOCK - {"html", "body"}
 _SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr"}, {"table", "tbody", "thead", "tfoot"}), "option": ({"option"}, {"select"})}
 #: Words of boilerplate, those that articles use too, and words of layout that go with either.
-_STRONG = re.compile(r"(?:ads?|advert\w*|sponsor\w*|promo\w*|sidebars?|menus?|nav|navbar|navigation|breadcrumbs?|footer|masthead|comments?|commentlist|disqus|cookies?|popup|modal|newsletter|subscribe|signup|pagination|pager|toolbar|contentinfo|complementary)")
+_STRONG = re.compile(r"(?:ads?|advert\w*|sponsor\w*|promo\w*|sidebars?|menus?|nav|navbar|navigation|breadcrumbs?|footer|masthead|comments?|commentlist|commenters?|repl(?:y|ies)|discussions?|talkback|guestbook|disqus|cookies?|popup|modal|newsletter|subscribe|signup|pagination|pager|toolbar|contentinfo|complementary)")
 _WEAK = re.compile(r"(?:banner|header|side|respond|responses|consent|notices?|alerts?|overlay|share|sharing|social|related|relatedposts|recommend\w*|widgets?|skip)")
 _LAYOUT = set("area areas bar block blocks body bottom box boxes btn button buttons column container content entry extra field footer form global head holder icons inner item items left link links list lists main meta more navi outer page panel post posts primary reader readers right secondary section site slot space stories sub text thread title top unit user view wrap wrapper article articles blog".split())
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
@@ -44,8 +45,9 @@ _POSITIVE = re.compile(r"article|body|content|entry|hentry|main|page|post|text|s
 _HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 _INLINE_HOLDERS = ("p", *_HEADINGS, "li", "tr", "td", "th", "pre", "dt", "dd")
 _NO_CONTAINER = ("p", *_HEADINGS, "pre", "li", "td", "th", "dt", "dd", "tr", "tbody", "blockquote", "figcaption")
-#: Ancestors that a block passes points to; text of this many characters is not short.
-LEVELS, SHORT = 10, 300
+_PROSE = ("p", "pre", "blockquote", "li", "td", "dd", *_HEADINGS)
+#: Ancestors that a block passes points to.
+LEVELS = 10
 
 
 def _marks(tokens: str) -> str:
@@ -62,14 +64,16 @@ def _marks(tokens: str) -> str:
 
 
 class _Node:
-    __slots__ = ("chars", "children", "kept", "linked", "mark", "name", "parent", "pruned", "score", "weight", "whole")
+    __slots__ = ("chars", "children", "kept", "linked", "mark", "name", "parent", "prose", "pruned", "score", "weight", "whole")
 
     def __init__(self, name: str, parent: _Node | None, attributes: str = "") -> None:
         self.name, self.parent, self.children, self.score = name, parent, [], 0.0
-        self.chars, self.linked, self.kept, self.whole, self.mark = 0, 0, False, False, ""
+        self.chars, self.linked, self.prose, self.kept, self.whole, self.mark = 0, 0, 0, False, False, ""
         self.pruned, self.weight = name in _PRUNED, 25.0 if name in ("article", "main") else 0.0
         if attributes and name not in ("html", "body"):
-            marks = " ".join((a[1] or a[2] or a[3]) for a in _ATTRIBUTE.findall(attributes) if a[0].lower() in ("class", "id", "role"))
+            found = [(a[0].lower(), a[1] or a[2] or a[3]) for a in _ATTRIBUTE.findall(attributes)]
+            # A section that is called by the id "discussion" is a paper's; readers discuss in a class.
+            marks = " ".join(v for k, v in found if k in ("class", "role") or k == "id" and v.lower() != "discussion")
             if marks:
                 self.mark = _marks(marks) if name not in ("article", "main") or "comment" in marks.lower() else ""
                 if _POSITIVE.search(marks):
@@ -181,21 +185,53 @@ def _blocks(root: _Node) -> list[tuple[_Node, str, int]]:
     return out
 
 
+def _within(x: _Node, names: tuple[str, ...]) -> bool:
+    while x is not None and x.name not in names:
+        x = x.parent
+    return x is not None
+
+
 def _prune(nodes: list[_Node]) -> None:
-    """Prunes elements that their marks say are boilerplate; an element around the article is none."""
+    """Prunes elements that their marks or names say are boilerplate; an element around the article is none.
+
+    A strong mark prunes; a weak one prunes what is full of links, and containers that either hold no block of prose
+    or stand outside an article with less than half of the page's text. A form is pruned unless it holds half of the
+    page's prose. Buttons and labels stay inside a block that has words of its own around them.
+    """
     for x in reversed(nodes):
+        own = 0
         for c in x.children:
             if isinstance(c, str):
-                x.chars += len(c.strip())
+                own += len(c.strip())
             elif not c.pruned:
                 x.chars += c.chars
                 x.linked += c.linked
+                x.prose += c.prose
                 x.whole |= c.whole
+        x.chars += own
+        if x.name in _PROSE:
+            x.prose = x.chars
         if x.name == "a":
             x.linked = x.chars
-        if x.mark and not x.whole:
-            x.pruned |= x.mark == "strong" or x.chars < SHORT or x.linked > 0.3 * x.chars
+        if x.name in _PROSE:
+            for c in x.children:
+                if not isinstance(c, str) and c.name in _CONTROLS and not own:
+                    c.pruned = True
+        x.pruned |= x.mark == "strong" and not x.whole
         x.whole |= x.name in ("article", "main") and not x.pruned
+    root = nodes[0]
+    inside = set()
+    for x in nodes:
+        up = x.parent
+        if up is not None and (id(up) in inside or up.name in ("article", "main")):
+            inside.add(id(x))
+        if x.name in _CONTROLS and (up is None or not _within(up, _PROSE)):
+            x.pruned = True
+        if x.name == "form" and not x.whole and 2 * x.prose < max(1, root.prose):
+            x.pruned = True
+        if x.mark == "weak" and not x.whole:
+            sparse = not x.prose or id(x) not in inside and 2 * x.chars < root.chars
+            x.pruned |= x.linked > 0.3 * x.chars or x.name not in _PROSE and sparse
     for x in nodes:
         x.chars = x.linked = 0
 
@@ -269,9 +305,10 @@ def extract(pages: DataFrame, names: tuple[str, str] = ("text", "n_chars")) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(x.as_py()) for x in batch.column("html")]
-            own = [batch.column(c) for c in rest]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], [*rest, *names])
+            texts = [main_text(x.as_py()) for x in batch.column("__html")]
+            yield pa.RecordBatch.from_arrays([batch.column("__row"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["__row", *names])
 
-    schema = pages.select(*[F.col(f"`{c}`") for c in rest]).schema.add(names[0], "string").add(names[1], "long")
-    return pages.select(*[F.col(f"`{c}`") for c in rest], F.col("html").cast("string").alias("html")).mapInArrow(run, schema)
+    own = F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in rest]) if rest else F.lit(0)
+    rows = pages.select(own.alias("__row"), F.col("html").cast("string").alias("__html"))
+    out = rows.mapInArrow(run, rows.select("__row").schema.add(names[0], "string").add(names[1], "long"))
+    return out.select(*(["__row.*"] if rest else []), *names)

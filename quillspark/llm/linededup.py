@@ -63,7 +63,8 @@ class LineRuns:
 
     @staticmethod
     def merged(runs: DataFrame) -> DataFrame:
-        return runs.groupBy(*KEY).agg(F.sum("n").alias("n"), F.max("last").alias("last"))
+        """One row a key. Only the run that met a key first has its keeper: the anti-join alone decides which one that is."""
+        return runs.groupBy(*KEY).agg(F.sum("n").alias("n"), F.min("last").alias("last"))
 
     def add(self, batch: DataFrame) -> None:
         """Takes a batch (k1, k2, n, last; one row a key) of smaller ids than all before."""
@@ -125,8 +126,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
     held, repeated = repeated_lines(docs.select("doc_id", "text"), min_chars, min_docs, batches, fanout)
     salted = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     hit = held.withColumn("salt", F.pmod(seeded(4, "doc_id"), F.lit(SALTS)).cast("int")).join(salted, [*KEY, "salt"])
-    gone = hit.where(~F.col("doc_id").eqNullSafe(F.col("last"))).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set(F.struct(*KEY)).alias("__gone"))
-    rows = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__id")), "left").withColumn("__lines", lines(F.col("text")))
+    gone = hit.where(~F.col("doc_id").eqNullSafe(F.col("last"))).groupBy(F.col("doc_id").alias("__gone_id")).agg(F.collect_set(F.struct(*KEY)).alias("__gone"))
+    packed = docs.select(F.struct(*own).alias("__row"), F.col("doc_id").alias("__id"), F.col("text").alias("__text"))
+    rows = packed.join(gone, F.col("__id").eqNullSafe(F.col("__gone_id")), "left").withColumn("__lines", lines(F.col("__text")))
     # The keys that go are dealt to cells, so that a text of many lines does not look through all of them for each.
     cells = F.ceil(F.sqrt(F.size("__lines"))).cast("int")
     dealt = F.transform(F.sequence(F.lit(0), cells - 1), lambda c: F.filter("__gone", lambda k: F.pmod(k["k1"], cells) == c))
@@ -134,4 +136,4 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
     found = lambda k: F.array_contains(F.get("__cells", F.pmod(k["k1"], cells).cast("int")), k)
     stays = lambda x: ~((F.length(line_key(x)) >= min_chars) & found(key_hash(line_key(x))))
     rows = rows.withColumn("__kept", F.when(F.col("__gone").isNull(), F.col("__lines")).otherwise(F.filter("__lines", stays)))
-    return rows.select(*own, F.size("__lines").cast("long").alias(names[0]), (F.size("__lines") - F.size("__kept")).cast("long").alias(names[1]), F.array_join("__kept", "\n").alias(names[2]))
+    return rows.select("__row.*", F.size("__lines").cast("long").alias(names[0]), (F.size("__lines") - F.size("__kept")).cast("long").alias(names[1]), F.array_join("__kept", "\n").alias(names[2]))

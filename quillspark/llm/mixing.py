@@ -72,14 +72,15 @@ def with_targets(rows: DataFrame, targets: DataFrame) -> DataFrame:
 def mix(sizes: DataFrame, weights: list[int], share: float = 1.5, max_epochs: int = 2, seed: int = 0) -> DataFrame:
     """(id, source, size) to (id, source, size, source_size, target, times): how often each row is taken.
 
-    Further columns of sizes are passed through.
+    Further columns of sizes are passed through, whatever their names; those that carry the new names are replaced.
     Rows of null source form one source, which comes last. Rows of size 0 are taken as their place in the order
     says and cost nothing; a source whose rows are all of size 0 has target 0 and takes nothing. Ties of the order
     (repeated ids) are broken by size; rows equal in both are interchangeable. An empty table gives an empty result.
     """
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit(""))))
-    more = [c for c in sizes.columns if c not in ("id", "source", "size")]
-    rows = cut(sizes.select("id", "source", F.col("size").cast("long").alias("size"), *more), "mix-sizes").withColumn("__key", key)
+    added = ("source_size", "target", "times")
+    more = [F.col(f"`{c.replace('`', '``')}`") for c in sizes.columns if c not in ("id", "source", "size", *added)]
+    rows = cut(sizes.select("id", "source", F.col("size").cast("long").alias("size"), (F.struct(*more) if more else F.lit(0)).alias("__more_columns")), "mix-sizes").withColumn("__key", key)
     cell = F.substring("__key", 1, 3)
     cells = rows.groupBy("source", cell.alias("cell")).agg(F.sum("size").alias("size"))
     targets = water_fill(cells.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, max_epochs)
@@ -101,4 +102,4 @@ def mix(sizes: DataFrame, weights: list[int], share: float = 1.5, max_epochs: in
     outside = marked.where(edge.isNull() | (cell != edge)).withColumn("__before", F.lit(None).cast("long"))
     outside = outside.withColumn("__more", (edge.isNull() & (F.col("extra") > 0) | F.coalesce(cell < edge, F.lit(False))).cast("long"))
     both = inside.select(*outside.columns).unionByName(outside)
-    return both.select("id", "source", "size", *more, "source_size", "target", F.least(F.col("whole") + F.col("__more"), F.lit(max_epochs)).cast("long").alias("times"))
+    return both.select("id", "source", "size", *(["__more_columns.*"] if more else []), "source_size", "target", F.least(F.col("whole") + F.col("__more"), F.lit(max_epochs)).cast("long").alias("times"))

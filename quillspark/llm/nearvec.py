@@ -43,14 +43,17 @@ class Code:
     def __init__(self, share: float, dim: int, rng: np.random.Generator) -> None:
         total = LIST / share
         self.m = min(dim, max(1, math.ceil(math.log(total) / math.log(5000))))
-        self.b = max(2, math.ceil(total ** (1 / self.m)))
+        # One component has two directions, whatever the number of vectors.
+        self.b = max(2, math.ceil(total ** (1 / self.m))) if dim > 1 else 2
         self.rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
         self.cuts = [round(i * dim / self.m) for i in range(self.m + 1)]
         self.books = []
         for a, z in zip(self.cuts, self.cuts[1:], strict=False):
             c = rng.standard_normal((self.b, z - a))
             self.books.append(c / np.linalg.norm(c, axis=1, keepdims=True))
-        self.least = NormalDist().inv_cdf(1 - share) * math.sqrt(self.m / dim)
+        self.least = NormalDist().inv_cdf(1 - share) * math.sqrt(self.m / dim) if dim > 1 else 0.5
+        if dim == 1:
+            self.books = [np.array([[1.0], [-1.0]])]
 
     def decode(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, filter) for each filter of each unit vector, in order of rows."""
@@ -246,6 +249,8 @@ def near_duplicates(vectors: DataFrame, rho: float = 0.95, seed: int = 0) -> Dat
     spark = vectors.sparkSession
     ship(spark)
     v = F.transform(F.col("embedding"), lambda x: x.cast("double"))
+    # Of one component only the sign counts, so that all vectors of a sign are one class.
+    v = F.when(F.size("embedding") == 1, F.transform(v, lambda x: F.when(F.abs(x) < float("inf"), F.signum(x)).otherwise(x))).otherwise(v)
     good = F.col("embedding").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = vectors.select("vec_id", "embedding", v.alias("v"))
     rows = rows.withColumn("good", F.coalesce(good, F.lit(False)))

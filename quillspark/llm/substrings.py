@@ -290,8 +290,14 @@ def dedup_substrings(docs: DataFrame, length: int = 200) -> DataFrame:
     if not ANCHOR <= length <= 254:
         raise ValueError(f"length must be {ANCHOR} to 254")
     ship(docs.sparkSession)
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("k", seeded(6, F.coalesce("text", F.lit(""))))
-    sizes = cut(rows.select("k", F.octet_length("text").alias("n")), "substring-sizes")
+    plain = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumns({"k": seeded(6, plain), "k2": seeded(11, plain)})
+    sizes = cut(rows.select("k", "k2", F.octet_length("text").alias("n")), "substring-sizes")
+    # A key stands for one text: texts that share a hash and differ in the second are told apart by both.
+    shared = cut(sizes.groupBy("k").agg(F.min("k2").alias("low"), F.max("k2").alias("high")).where("low <> high").select("k", F.lit(1).alias("shared")), "substring-shared")
+    if not shared.isEmpty():
+        apart = F.when(F.col("shared").isNull(), F.col("k")).otherwise(seeded(12, "k", "k2"))
+        rows, sizes = (d.join(shared, "k", "left").withColumn("k", apart).drop("shared") for d in (rows, sizes))
     copies = sizes.groupBy("k").agg(F.count(F.lit(1)).alias("rows"), F.max("n").alias("n")).where((F.col("rows") > 1) & (F.col("n") >= length))
     long = rows.where(F.octet_length("text") >= length).select("k", "text")
     spans = cut(repeated_spans(long, length, sizes.count()), "substring-spans")

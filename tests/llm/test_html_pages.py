@@ -18,6 +18,13 @@ PAGES = {
     "layout_names": ("<body class='no-sidebar'><div id='wrapper' class='with-sidebar'><div class='header-image'><p>One, two, three, four.</p></div><nav>m</nav><p>Five, six, seven.</p></div>", "One, two, three, four.\nFive, six, seven."),
     "two_sections": ("<div class=content><section><p>Long, long, long, long, long text here.</p><p>More, more, more.</p></section><section><p>Short end.</p></section></div>", "Long, long, long, long, long text here.\nMore, more, more.\nShort end."),
     "stray_tags": ("</p></div><p>x, y</i></article><td>z</td></p>", "x, y\nz"),
+    "page_in_a_form": ("<body><form id='aspnetForm'><div class=nav><a href=x>m</a></div><div id=content><h1>T</h1><p>One, two, three.</p><p>Four, five.</p></div></form>", "T\nOne, two, three.\nFour, five."),
+    "form_in_a_page": ("<article><p>Text, text.</p><form action=x><p><label>Mail</label><input><button>Go</button></p></form></article>", "Text, text."),
+    "marked_heading_and_warning": ("<article><h1 class='page-header'>Head</h1><p>One, two, three.</p><p class='alert'>Do not mix bleach and acid.</p></article>", "Head\nOne, two, three.\nDo not mix bleach and acid."),
+    "controls_in_sentences": ("<article><p>Press <button>OK</button> to go on, please.</p><p>Pick <label>this one</label>, then that.</p><div><button>Menu</button></div></article>", "Press OK to go on, please.\nPick this one, then that."),
+    "replies_beside": ("<body><div class=story><p>One, two, three.</p><p>Four, five, six, seven.</p></div><div class=replies><p>Great, great, great post, wow, yes.</p></div>", "One, two, three.\nFour, five, six, seven."),
+    "discussions": ("<article><p>One, two, three.</p><section class=discussion><p>I think, I think, so.</p></section><section id=discussion><h2>Discussion</h2><p>We discuss.</p></section></article>", "One, two, three.\nDiscussion\nWe discuss."),
+    "notice_beside": ("<body><div class=notice><p>We have moved.</p></div><div id=content><p>One, two, three, four, five.</p><p>Six, seven, eight.</p></div>", "One, two, three, four, five.\nSix, seven, eight."),
     "no_text": ("<nav>menu</nav><img src=x>", ""),
 }
 
