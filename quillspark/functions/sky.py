@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -127,3 +129,31 @@ def kelvin_name(kelvin: Column) -> Column:
     for limit, name in KELVINS[1:]:
         out = out.when(kelvin < limit, name)
     return F.when(kelvin.isNotNull(), out.otherwise("blue_sky"))
+
+
+def sun_crossings(start: Column, lat: Column, lon: Column, target: float = SUNRISE, hours: int = 24, step_s: int = 600, within_s: float = 0.5) -> Column:
+    """struct(rise, set): when the sun's middle passes `target` degrees upwards and downwards in the `hours` from `start` (Unix seconds), the last of each; null where it does not, as on polar days and nights.
+
+    The day is bracketed on a grid of step_s, and a bracket is halved until it is within within_s.
+    """
+    at = lambda s: sun(s, lat, lon)["elevation"] - target
+    n = hours * 3600 // step_s
+    seen = F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: F.struct((start + i * step_s).alias("t"), (at(start + i * step_s) > 0).alias("up")))
+    halvings = F.sequence(F.lit(1), F.lit(max(1, math.ceil(math.log2(step_s / within_s)))))
+
+    def edges(all_: Column) -> Column:
+        pairs = F.zip_with(F.slice(all_, 1, n), F.slice(all_, 2, n), lambda p, q: F.struct(p["t"].alias("low"), q["t"].alias("high"), p["up"].alias("was"), q["up"].alias("is")))
+        last = lambda up: F.try_element_at(F.filter(pairs, lambda x: (x["is"] == F.lit(up)) & (x["was"] != F.lit(up))), F.lit(-1))
+        return F.struct(last(True).alias("rise"), last(False).alias("set"))
+
+    def root(bracket: Column) -> Column:
+        def half(s: Column, _: Column) -> Column:
+            middle = (s["low"] + s["high"]) / 2
+            later = (at(middle) > 0) == bracket["was"]
+            return F.struct(F.when(later, middle).otherwise(s["low"]).alias("low"), F.when(later, s["high"]).otherwise(middle).alias("high"))
+
+        begin = F.struct(bracket["low"].cast("double").alias("low"), bracket["high"].cast("double").alias("high"))
+        return F.when(bracket.isNotNull(), F.aggregate(halvings, begin, half, lambda s: (s["low"] + s["high"]) / 2))
+
+    found = F.transform(F.transform(F.array(seen), edges), lambda x: F.struct(root(x["rise"]).alias("rise"), root(x["set"]).alias("set")))
+    return F.get(found, F.lit(0))

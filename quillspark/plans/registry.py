@@ -27,7 +27,7 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-from . import clocks, facts, intervals, library, passages, relational, retrieval, scalars, search, sequences, shots, sounds, tail, transcripts  # noqa: E402, F401
+from . import clocks, facts, intervals, library, passages, planning, relational, retrieval, scalars, search, sequences, shots, sounds, tail, transcripts  # noqa: E402, F401
 
 # After the others, whose SQL it builds on.
 from . import flows  # noqa: E402, F401
