@@ -35,6 +35,8 @@ from .textnp import chunks, flat, mixed, prefix_hash, span_hash
 ANCHOR = 32
 PIECES = 16_000
 SALTS = 16
+#: 8 bytes each.
+BROADCAST_ROWS = 1_000_000
 HOT, WIDTHS = 2000, (22, 3, 1)
 
 
@@ -83,10 +85,10 @@ def anchor_places(texts: DataFrame, length: int, buckets: int) -> DataFrame:
                 data, starts, ends = flat(part.column("text"))
                 text, place, h, _, _ = _anchors(data, starts, ends, length)
                 key, place = np.asarray(part.column("k"))[text], (place - starts[text]).astype(np.int64)
-                bucket = (h % np.uint64(buckets)).astype(np.uint16)
+                bucket = (h % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
                 order = np.argsort(bucket, kind="stable")
                 bounds = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=buckets))])
-                rows = [b for b in range(buckets) if bounds[b + 1] > bounds[b]]
+                rows = np.flatnonzero(np.diff(bounds)).tolist()
                 blobs = [[v[order[bounds[b] : bounds[b + 1]]].tobytes() for b in rows] for v in (h, key, place.astype(np.uint32))]
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), *(pa.array(x, pa.binary()) for x in blobs)], ["bucket", "hashes", "keys", "places"])
 
@@ -216,7 +218,7 @@ def _sorted(length: int):  # noqa: ANN202
 
 def repeated_spans(texts: DataFrame, length: int, rows: int) -> DataFrame:
     """(k, spans): the stretches of each text (k, text; rows of one k are equal) that windows at two places cover."""
-    buckets = int(min(4096, max(16, rows // 4000)))
+    buckets = int(max(16, rows // 4000))
     again = anchor_places(texts, length, buckets).groupBy("bucket").applyInArrow(_repeated, "k long, places array<int>")
     again = again.groupBy("k").agg(F.flatten(F.collect_list("places")).alias("places"))
     # One row of each text is enough.
@@ -228,12 +230,14 @@ def repeated_spans(texts: DataFrame, length: int, rows: int) -> DataFrame:
     level, per, count = unique.join(kinds, ["anchor", "piece"]), kinds, pieces.count()
     ready, links = [], []
     for width in WIDTHS:
-        # At most one anchor in HOT pieces, so the table of them is small.
+        # At most one anchor in HOT pieces; their table is broadcast up to BROADCAST_ROWS rows.
         hot = cut(per.groupBy("anchor").agg(F.count(F.lit(1)).alias("pieces")).where(F.col("pieces") > HOT).select("anchor"), "substring-hot")
-        if hot.isEmpty():
+        n_hot = hot.count()
+        if not n_hot:
             break
-        ready.append(level.join(F.broadcast(hot), "anchor", "left_anti"))
-        split = level.join(F.broadcast(hot), "anchor", "left_semi").select("anchor", "piece", "n", "pivot", "body")
+        few = F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot
+        ready.append(level.join(few, "anchor", "left_anti"))
+        split = level.join(few, "anchor", "left_semi").select("anchor", "piece", "n", "pivot", "body")
         parts = cut(split.mapInArrow(_parts(length, width), "anchor long, piece long, n long, pivot int, body binary, of long, shift long"), "substring-parts")
         links.append(parts.select("piece", "of", "shift"))
         merged = parts.groupBy("anchor", "piece").agg(F.sum("n").alias("n"), F.min("pivot").alias("pivot"), F.min("body").alias("body"))
@@ -241,7 +245,7 @@ def repeated_spans(texts: DataFrame, length: int, rows: int) -> DataFrame:
         level = per = cut(merged.join(alone, ["anchor", "piece"], "left_anti"), "substring-parts")
         count += level.count()
     ready.append(level)
-    shards = int(min(100_000, max(8, count // PIECES)))
+    shards = int(max(8, count // PIECES))
     columns = ["anchor", "piece", "n", "body"]
     sharded = reduce(DataFrame.unionByName, [x.select(columns) for x in ready]).withColumn("shard", F.pmod(seeded(5, "anchor"), F.lit(shards)).cast("int"))
     found = sharded.groupBy("shard").applyInArrow(_sorted(length), "piece long, from long, to long")
