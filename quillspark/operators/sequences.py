@@ -110,24 +110,33 @@ def hamming_thin(df: DataFrame, keys: Sequence[str], order: str, code: str, bits
     return df.repartition(*keys).sortWithinPartitions(*keys, F.asc_nulls_last(order), code).mapInArrow(run, df.schema)
 
 
-def text_windows(df: DataFrame, keys: Sequence[str], start: str, end: str, text: str, length: float = 30, overlap: float = 5) -> DataFrame:
-    """Overlapping windows of whole pieces: closed when `length` is reached, the next begins `overlap` before the end."""
+def text_windows(df: DataFrame, keys: Sequence[str], start: str, end: str, text: str, length: float = 30, overlap: float = 5, pause: float = 0.6) -> DataFrame:
+    """Overlapping windows of whole pieces of `length` at most; one piece that is longer is a window of its own.
+
+    A window that does not reach the last piece ends after the last sentence end or pause in its second half, if there is
+    one. The next begins with the first piece that starts in its last `overlap`.
+    """
     ship(df.sparkSession)
     schema = df.select(*keys).schema.add("window", "integer").add("w_start", "double").add("w_end", "double").add("w_text", "string")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([start, end])
+        pdf = pdf.sort_values([start, end], kind="stable")
         s, e, t = pdf[start].to_numpy(float), pdf[end].to_numpy(float), pdf[text].fillna("").tolist()
-        rows, i = [], 0
-        while i < len(s):
-            j = i
-            while j + 1 < len(s) and e[j] - s[i] < length:
-                j += 1
-            rows.append((*pdf.iloc[0][list(keys)], len(rows), s[i], e[j], " ".join(t[i : j + 1])))
-            if j + 1 >= len(s):
+        n, rows, i = len(s), [], 0
+        breaks = np.array([x.rstrip().endswith((".", "!", "?", "…")) for x in t], bool) | (np.append(s[1:], np.inf) - e >= pause)
+        while i < n:
+            over = np.flatnonzero(e[i + 1 :] - s[i] > length)
+            stop = i + 1 + int(over[0]) if len(over) else n
+            if stop < n:
+                first_half = np.flatnonzero(e[i + 1 : stop] < s[i] + length / 2)
+                low = i + 1 + (int(first_half[-1]) + 1 if len(first_half) else 0)
+                good = np.flatnonzero(breaks[low:stop])
+                stop = low + int(good[-1]) + 1 if len(good) else stop
+            rows.append((*pdf.iloc[0][list(keys)], len(rows), s[i], e[stop - 1], " ".join(t[i:stop])))
+            if stop >= n:
                 break
-            i = max(i + 1, int(np.searchsorted(s, e[j] - overlap)))
-            i = min(i, j + 1)
+            again = np.flatnonzero(s[i + 1 : stop] >= e[stop - 1] - overlap)
+            i = i + 1 + int(again[0]) if len(again) else stop
         return pd.DataFrame(rows, columns=schema.names)
 
     return df.groupBy(*keys).applyInPandas(run, schema)

@@ -99,19 +99,32 @@ def _folded(df: DataFrame, keys: Sequence[str], fold, fields: str, order: Sequen
     return df.groupBy(*keys).applyInPandas(run, schema)
 
 
-def split_long(df: DataFrame, keys: Sequence[str], start: str, end: str, keyframes: str) -> DataFrame:
-    """(keys, part, a, b): long shots cut into parts of about PART_S near their keyframes (array column); short ones stay whole."""
+def _out_of(t: float, spans: np.ndarray, low: float, high: float) -> float:
+    """t, or the nearer edge of the span that it is in, if that is allowed and within PAUSE_REACH_S."""
+    inside = spans[(spans[:, 0] < t) & (t < spans[:, 1])][:1].ravel()
+    edges = inside[(inside >= low) & (inside <= high) & (np.abs(inside - t) <= PAUSE_REACH_S)]
+    return float(edges[np.abs(edges - t).argmin()]) if len(edges) else t
+
+
+def split_long(df: DataFrame, keys: Sequence[str], start: str, end: str, keyframes: str, speech: str | None = None) -> DataFrame:
+    """(keys, part, a, b): long shots cut into parts of about PART_S near their keyframes (array column); short ones stay whole.
+
+    speech: an array of spans (struct of two numbers) in which no cut should be; a cut in one moves to its edge.
+    """
 
     def fold(pdf: pd.DataFrame) -> Iterator[tuple]:
         n = 0
-        for s, e, frames in zip(pdf[start], pdf[end], pdf[keyframes], strict=True):
+        talk = pdf[speech] if speech else [()] * len(pdf)
+        for s, e, frames, said in zip(pdf[start], pdf[end], pdf[keyframes], talk, strict=True):
+            spans = np.array([tuple(x.values()) if isinstance(x, dict) else tuple(x) for x in said], float).reshape(-1, 2)
             bounds, count = [s], max(2, round((e - s) / PART_S)) if e - s > LONG_SHOT_S else 1
             span = (e - s) / count
             for i in range(1, count):
                 ideal = s + i * span
                 near = [t for t in frames if abs(t - ideal) <= REACH * span]
                 cut = min(near, key=lambda t, ideal=ideal: abs(t - ideal)) if near else ideal
-                bounds.append(min(max(cut, bounds[-1] + MIN_PART_S), e - MIN_PART_S * (count - i)))
+                low, high = bounds[-1] + MIN_PART_S, e - MIN_PART_S * (count - i)
+                bounds.append(min(max(_out_of(cut, spans, low, high), low), high))
             for a, b in zip(bounds, [*bounds[1:], e], strict=True):
                 n += 1
                 yield n, float(a), float(b)

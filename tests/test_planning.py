@@ -275,3 +275,100 @@ def test_bounds_keep_apart(spark):
     df = spark.createDataFrame([(1, t, s) for t, s in ((10.0, 0.9), (20.0, 0.9), (32.0, 0.8), (50.0, 0.7), (95.0, 1.0), (60.0, None))], "k int, t double, s double")
     got = sorted(r["t"] for r in C.spaced_bounds(df, ["k"], "t", "s", F.lit(100.0), F.lit(3), F.lit(12.0)).collect())
     assert got == [20.0, 32.0, 50.0]
+
+
+def plain_cut(words, shots, start, end, duration):
+    at = lambda t: next((s for s in shots if s[0] <= t < s[1]), shots[-1] if t >= shots[-1][0] else shots[0])
+    closing = lambda t: next((s for s in shots if s[0] < t <= s[1]), shots[-1] if t >= shots[-1][0] else shots[0])
+    f = at(start)
+    if 0 < start - f[0] <= 0.5:
+        start = f[0]
+    elif 0 < f[1] - start <= 0.5 and f[1] < end - 0.1:
+        start = f[1]
+    z = closing(end)
+    if 0 < z[1] - end <= 0.5:
+        end = z[1]
+    elif 0 < end - z[0] <= 0.5 and z[0] > start + 0.1:
+        end = z[0]
+    lo, hi = at(start)[0], closing(end)[1]
+    spots = [(max(0.0, words[0][0] - 0.15), 2.0), (max(w[1] for w in words) + 0.15, 2.0)]
+    for a, b in itertools.pairwise(words):
+        if b[0] >= a[1]:
+            spots.append(((a[1] + b[0]) / 2, min(b[0] - a[1], 2.0) + (0.5 if a[2].rstrip().endswith((".", "!", "?", "…")) else 0)))
+    inside = lambda t, pad: any(w[0] - pad < t < w[1] + pad for w in words)
+
+    def snap(t, low, high):
+        free = [(q - 0.25 * abs(p - t), p) for p, q in spots if low <= p <= high]
+        return max(free)[1] if inside(t, 0.08) and free else t
+
+    a = snap(start, max(0.0, lo - 3), min(start + 3, max(lo, hi - 2)))
+    a = lo if lo - 0.05 < a < lo and not inside(lo, 0) else a
+    pa_ = min(max(a, lo), hi)
+    b = snap(end, max(a + 2, min(pa_ + 2, hi), end - 3), min(max(duration, hi), hi + 3))
+    b = hi if hi < b < hi + 0.05 and not inside(hi, 0) else b
+    return pa_, min(max(b, pa_), hi), a, b, inside(a, 0) or inside(b, 0)
+
+
+def test_safe_cuts_equal_the_rules(spark, small):
+    said, shots = planning.spoken(spark, small)
+    words, by_shot = defaultdict(list), defaultdict(list)
+    for r in said.collect():
+        words[r["conv_id"]].append((r["s"], r["e"], r["text"]))
+    for r in shots.collect():
+        by_shot[r["conv_id"]].append((r["s"], r["e"]))
+    rows = QUERIES["safe_cut_ranges"](spark, small).collect()
+    assert len(rows) == 3 * len(words)
+    moved = 0
+    for r in rows:
+        want = plain_cut(sorted(words[r["conv_id"]]), sorted(by_shot[r["conv_id"]]), r["a"], r["b"], r["duration"])
+        assert np.allclose([r["picture_in"], r["picture_out"], r["sound_in"], r["sound_out"]], want[:4], atol=1e-6) and r["clipped"] == want[4]
+        moved += r["sound_in"] != r["a"]
+        assert not r["clipped"] or r["b"] - r["a"] < 4
+    assert moved > len(rows) // 4
+
+
+def test_spoken_shots_are_split_between_words(spark, small):
+    said, _ = planning.spoken(spark, small)
+    words = defaultdict(list)
+    for r in said.collect():
+        words[r["conv_id"]].append((r["s"], r["e"]))
+    parts = defaultdict(list)
+    for r in QUERIES["split_spoken_shots"](spark, small).orderBy("conv_id", "part").collect():
+        parts[r["conv_id"]].append((r["a"], r["b"]))
+    assert set(parts) == set(words)
+    for conv, p in parts.items():
+        whole = max(e for _, e in words[conv]) - min(s for s, _ in words[conv])
+        assert len(p) == (1 if whole <= 30 else max(2, round(whole / 20))) and all(x[1] == y[0] for x, y in itertools.pairwise(p))
+        assert not [t for t, _ in p[1:] if any(s + 1e-3 < t < e - 1e-3 for s, e in words[conv])]
+
+
+def test_text_windows_equal_the_rules(spark):
+    from quillspark.operators import sequences as Q
+
+    rng, rows = random.Random(6), []
+    for k in range(6):
+        t = 0.0
+        for i in range(60):
+            d = rng.choice([0.4, 0.8, 2.5, 40.0 if k == 3 and i == 20 else 1.0])
+            rows.append((k, t, t + d, f"w{i}" + rng.choice(["", "", "", ".", "?"])))
+            t += d + rng.choice([0.0, 0.1, 0.7, 1.5])
+    got = defaultdict(list)
+    for r in Q.text_windows(spark.createDataFrame(rows, "k int, s double, e double, t string"), ["k"], "s", "e", "t").orderBy("k", "window").collect():
+        got[r["k"]].append(r["w_text"].split(" "))
+    for k, mine in got.items():
+        w = [r[1:] for r in rows if r[0] == k]
+        at = 0
+        for no, window in enumerate(mine):
+            names = [x[2] for x in w]
+            assert window == names[at : at + len(window)]
+            end = at + len(window)
+            full = next((j for j in range(at + 1, len(w)) if w[j][1] - w[at][0] > 30), len(w))
+            if full < len(w):
+                half = w[at][0] + 15
+                low = max([j + 1 for j in range(at + 1, full) if w[j][1] < half], default=at + 1)
+                good = [j for j in range(low, full) if w[j][2][-1] in ".?" or w[j + 1][0] - w[j][1] >= 0.6]
+                full = max(good) + 1 if good else full
+            assert end == full
+            if no + 1 < len(mine):
+                at = next((j for j in range(at + 1, end) if w[j][0] >= w[end - 1][1] - 5), end)
+        assert end == len(w)
