@@ -27,13 +27,12 @@ def bin_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "orders").join(items, "o_orderkey", "left_semi").select("o_orderkey")
 
 
-@query("""WITH u AS (SELECT page_id, url, regexp_replace(url, '/[^/]*$', '') AS folder FROM pages), t AS (SELECT folder FROM u GROUP BY folder ORDER BY count(*) DESC, folder LIMIT 20)
+@query("""WITH u AS (SELECT page_id, url, regexp_replace(url, '/[^/]*$', '') AS folder FROM pages), t AS (SELECT DISTINCT folder FROM u)
 SELECT page_id, t.folder FROM pages p JOIN t ON starts_with(p.url, t.folder || '/') AND instr(substr(p.url, length(t.folder) + 2), '/') = 0 AND length(p.url) > length(t.folder) + 1""")
 def folder_children(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages that stand in one of the twenty fullest folders itself; a path meets its own folder, so it is an equi join."""
+    """Each page with the folder that it stands in itself; a path meets its own folder, so no join is needed."""
     pages = load(spark, sf_dir, "pages").select("page_id", "url", F.regexp_replace("url", "/[^/]*$", "").alias("folder"))
-    top = pages.groupBy("folder").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "folder").limit(20).select("folder")
-    return pages.join(F.broadcast(top), "folder").where(L.direct_child(F.col("url"), F.col("folder"))).select("page_id", "folder")
+    return pages.where(L.direct_child(F.col("url"), F.col("folder"))).select("page_id", "folder")
 
 
 @query("""WITH c AS (SELECT user_id, date_trunc('minute', ts) AS m, max(value) AS value FROM events WHERE event_type = 'view' GROUP BY ALL)
@@ -58,11 +57,12 @@ def unblocked_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocked.where(F.size(F.array_except("b", redone)) == 0).select("l_orderkey")
 
 
-@query(r"""WITH t AS (SELECT conv_id, turn, role, left(text, 12) AS t, (length(text) % 30) / 30.0::DOUBLE AS s FROM conversations), n AS (SELECT *, length(regexp_replace(t, '[^\p{L}\p{N}]', '', 'g')) AS n FROM t)
-SELECT conv_id, turn, role, trim(regexp_replace(t, '\s+', ' ', 'g')) AS line FROM n WHERE CASE WHEN n >= 3 THEN s >= 0.8 ELSE n = 2 AND s >= 0.9 END""")
+@query(r"""WITH l AS (SELECT conv_id, turn, role, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM conversations), t AS (SELECT *, (length(t) % 30) / 30.0::DOUBLE AS s FROM l), n AS (SELECT *, length(regexp_replace(t, '[^\p{L}\p{N}]', '', 'g')) AS n FROM t)
+SELECT conv_id, turn, role, i, trim(regexp_replace(t, '\s+', ' ', 'g')) AS line FROM n WHERE CASE WHEN n >= 3 THEN s >= 0.8 ELSE n = 2 AND s >= 0.9 END""")
 def ocr_lines_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.substring("text", 1, 12).alias("t"), ((F.length("text") % 30) / 30.0).alias("s"))
-    return rows.where(L.keep_line(F.col("t"), F.col("s"))).select("conv_id", "turn", "role", L.clean_line(F.col("t")).alias("line"))
+    """Every line of every text, with a score of its own."""
+    lines = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.posexplode(F.split("text", "\n")).alias("i", "t"))
+    return lines.where(L.keep_line(F.col("t"), (F.length("t") % 30) / 30.0)).select("conv_id", "turn", "role", F.col("i").cast("long").alias("i"), L.clean_line(F.col("t")).alias("line"))
 
 
 @query("""SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity / 10 >= 2 AND coalesce(CASE WHEN l_linenumber % 2 = 0 THEN l_discount * 10 END, 0) <= 0.5 AND coalesce(l_tax * 12, 0) <= 0.7 AND NOT (l_returnflag = 'N' AND l_linenumber <= 1)""")
@@ -148,11 +148,11 @@ def clip_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT l_orderkey % 500 AS bin, bool_or(l_orderkey % 97 = 0) AS everything, CASE WHEN bool_or(l_orderkey % 97 = 0) THEN '' ELSE array_to_string(list_sort(list_distinct(flatten(list(d)))), ',') END AS names FROM a GROUP BY bin""")
 def scope_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scopes of a bin united one after another; one that holds everything absorbs the others."""
-    each = load(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set(F.col("l_shipdate").cast("date").cast("string")).alias("d"))
-    rows = each.groupBy((F.col("l_orderkey") % 500).alias("bin")).agg(F.collect_list(F.struct((F.col("l_orderkey") % 97 == 0).alias("every"), "d")).alias("all"))
-    start = F.struct(F.lit(False).alias("everything"), F.array().cast("array<string>").alias("names"))
-    scope = F.aggregate("all", start, lambda s, x: L.union_scope(s["everything"], s["names"], x["every"], x["d"]))
-    return rows.select("bin", scope.alias("s")).select("bin", "s.everything", F.array_join("s.names", ",").alias("names"))
+    # Names are distinct before they are gathered, so a list holds each of them once, however many scopes have it.
+    names = load(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 500).alias("bin"), (F.col("l_orderkey") % 97 == 0).alias("every"), F.col("l_shipdate").cast("date").cast("string").alias("d"))
+    rows = names.groupBy("bin", "d").agg(F.bool_or("every").alias("every")).groupBy("bin").agg(F.bool_or("every").alias("everything"), F.array_sort(F.collect_list("d")).alias("names"))
+    none = F.array().cast("array<string>")
+    return rows.select("bin", L.union_scope(F.col("everything"), none, F.lit(False), F.col("names")).alias("s")).select("bin", "s.everything", F.array_join("s.names", ",").alias("names"))
 
 
 @query("""WITH t AS (SELECT p_partkey, p_brand, list_distinct(string_split(lower(p_name), ' ')) AS w FROM part)
