@@ -2,36 +2,50 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_path
 
-_local: dict[str, str] = {}
+_lent: list[list[str]] = []
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as spark.checkpoint.dir names it.
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share."""
+    path = shared_path(spark, f"{name}-{uuid.uuid4().hex}")
+    for paths in _lent:
+        paths.append(path)
+    return path
 
-    Where it is unset, a local session gets a temporary folder of its own; a cluster must name one.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        found = _local.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="spark-scratch-")
-        _local[spark.sparkContext.applicationId] = found
-    return found.rstrip("/")
 
+def delete(spark: SparkSession, paths: Sequence[str]) -> None:
+    """Deletes folders of the shared store."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+@contextmanager
+def lent(spark: SparkSession) -> Iterator[list[str]]:
+    """The list of the paths that scratch_path() gives meanwhile; at the end those that are in it still are deleted.
+
+    For code that has written its result: what reads a deleted path afterwards fails.
+    """
+    paths: list[str] = []
+    _lent.append(paths)
+    try:
+        yield paths
+    finally:
+        _lent.remove(paths)
+        delete(spark, paths)
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """The pipeline's stages against what their operators' verdicts say, and op6 against its SQL."""
 
+import os
+
 import duckdb
 import pytest
 
@@ -38,3 +40,17 @@ def test_sql(spark, small, name):
     cursor = con.execute(queries.ORACLE_SQL[name])
     names = [d[0] for d in cursor.description]
     assert sorted(map(tuple, queries.QUERIES[name](spark, small).select(*names).collect())) == sorted(cursor.fetchall())
+
+
+def test_run_leaves_its_result_only(spark, small):
+    """Of all that the stages write, only the last result stays in the shared folder."""
+    from quillspark.llm import common
+
+    given = []
+    with common.lent(spark) as paths:
+        out = corpus_pipeline.run(spark, small)
+        given, paths[:] = list(paths), []
+    there = [p for p in given if os.path.exists(p.removeprefix("file:"))]
+    assert len(given) > 20 and len(there) == 1 and out.count() > 0
+    common.delete(spark, there)
+    assert not os.path.exists(there[0].removeprefix("file:"))
