@@ -96,26 +96,28 @@ def find_windows(docs: DataFrame, items: DataFrame, n: int) -> DataFrame:
 def proximity_matches(docs: DataFrame, phrases: DataFrame, slop: int) -> DataFrame:
     """(doc_id, phrase_id, first): places where all terms of a phrase stand in order, at most `slop` words off their places.
 
-    docs: (doc_id, text); phrases: (phrase_id, text) of at least one word, few enough to broadcast their ids. The posting
-    list of the rarest term is met with the others' by document and a cell of slop + 1 words, so lists are never crossed
-    whole.
+    docs: (doc_id, text); phrases: (phrase_id, text) of at least one word. The stored index of the phrases' terms is read:
+    the posting list of the rarest term is met with the others' by text and a cell of slop + 1 words, so lists are never
+    crossed whole. Rows that share a text share its matches.
     """
-    rows = docs.select("doc_id", *text_key(F.col("text")), words(F.col("text")).alias("words"))
-    asked = phrases.select("phrase_id", F.posexplode(words(F.col("text"))).alias("i", "term"))
-    index = rows.select("doc_id", F.posexplode("words").alias("pos", "term")).join(asked, "term").withColumn("shift", F.col("pos") - F.col("i"))
-    counted = index.groupBy("phrase_id", "i").agg(F.count(F.lit(1)).alias("n"))
-    rarest = counted.groupBy("phrase_id").agg(F.min(F.struct("n", "i"))["i"].alias("rare"))
-    marked = index.join(F.broadcast(rarest), "phrase_id")
-    width = slop + 1
-    lead = marked.where("i = rare").select("doc_id", "phrase_id", F.col("shift").alias("at"), F.explode(F.array(*[F.floor(F.col("shift") / width) + d for d in (-1, 0, 1)])).alias("cell"))
-    near = lead.join(marked.withColumn("cell", F.floor(F.col("shift") / width)), ["doc_id", "phrase_id", "cell"]).where(F.abs(F.col("shift") - F.col("at")) <= slop)
-    length = asked.groupBy("phrase_id").agg(F.count(F.lit(1)).alias("length"))
-    met = near.groupBy("doc_id", "phrase_id", "at").agg(F.collect_set("i").alias("is"), F.sort_array(F.collect_list(F.struct("pos", "i"))).alias("hits"))
+    keyed = docs.select("doc_id", *text_key(F.col("text")), words(F.col("text")).alias("words"))
+    asked = cut(phrases.select("phrase_id", F.posexplode(words(F.col("text"))).alias("i", "term")), "proximity-asked")
+    terms = cut(asked.select("term").distinct(), "proximity-terms")
+    n_asked = asked.count()
+    index = postings(keyed.select("k1", "k2", "words"), terms, terms.count())
+    counted = index.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    rarest = asked.join(counted, "term", "left").groupBy("phrase_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "i"))["i"].alias("rare"), F.count(F.lit(1)).alias("length"))
+    places = cut(asked.join(rarest, "phrase_id"), "proximity-places")
+    marked = index.join(small(places, n_asked), "term").withColumn("shift", F.col("pos") - F.col("i"))
+    cell = F.floor(F.col("shift") / (slop + 1))
+    lead = marked.where("i = rare").select("k1", "k2", "phrase_id", F.col("shift").alias("at"), F.explode(F.array(*[cell + d for d in (-1, 0, 1)])).alias("cell"))
+    near = lead.join(marked.withColumn("cell", cell), ["k1", "k2", "phrase_id", "cell"]).where(F.abs(F.col("shift") - F.col("at")) <= slop)
+    met = near.groupBy("k1", "k2", "phrase_id", "length", "at").agg(F.sort_array(F.collect_list(F.struct("pos", "i"))).alias("hits"))
     # In order: the least place of each term after the one before it.
     chain = lambda a, h: F.when(h["i"] == a["next"], F.struct((a["next"] + 1).alias("next"), F.coalesce(a["first"], h["pos"]).alias("first"))).otherwise(a)
     begin = F.struct(F.lit(0).alias("next"), F.lit(None).cast("int").alias("first"))
-    out = met.withColumn("chain", F.aggregate("hits", begin, chain)).join(length, "phrase_id").where(F.col("chain.next") == F.col("length"))
-    return out.select("doc_id", "phrase_id", F.col("chain.first").alias("first")).distinct()
+    found = met.withColumn("chain", F.aggregate("hits", begin, chain)).where(F.col("chain.next") == F.col("length")).select("k1", "k2", "phrase_id", F.col("chain.first").alias("first")).distinct()
+    return keyed.select("doc_id", "k1", "k2").join(found, ["k1", "k2"]).select("doc_id", "phrase_id", "first").distinct()
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, n: int = 13, numerator: int = 1, denominator: int = 20) -> DataFrame:
