@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import search_words as W
+from ..operators import questions as Q
 from ..operators import retrieval as S
 from ..operators import search_index as X
 from ..session import shared_path
@@ -131,3 +132,31 @@ def index_after_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     edited = docs.withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit(" of the thendea ea"))).otherwise(F.col("text")))
     index.refresh(edited.where("doc_id % 11 <> 0"), "doc_id", "text")
     return X.search(index, ASKED, "doc_id").select("doc_id", F.round("score", 6).alias("score"))
+
+
+def passages_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents stand for passages of their source: those of every fifth id for whole videos, the others for stretches of ten seconds."""
+    start = F.when(F.col("doc_id") % 5 != 0, (F.col("doc_id") % 600).cast("double"))
+    return load(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("video"), F.when(start.isNull(), "video").otherwise("shot").alias("kind"), F.lit("visual").alias("family"), start.alias("a"), (start + 10).alias("b"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+QUESTION = 'where is "of the" thending and ea'
+
+
+@query()
+def question_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is read to answer a question: passages found by words and by the vector of one of them, chosen for a budget of tokens."""
+    index = X.ensure(load(spark, sf_dir, "documents"), "doc_id", "text", "search", X.index_words)
+    vectors = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    probe = vectors.where("doc_id = 7").first()
+    found = Q.retrieved(index, QUESTION, "doc_id", vectors, probe["vector"] if probe else None)
+    return Q.context(found, passages_of(spark, sf_dir), "doc_id", budget=1500)
+
+
+@query()
+def question_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn read as an answer that cites by its own numbers, some of them of no passage."""
+    mark = F.concat(F.lit(" ["), (F.col("turn") + 1).cast("string"), F.lit("] and ["), (F.col("conv_id") % 30).cast("string"), F.lit("-"), (F.col("conv_id") % 30 + 2).cast("string"), F.lit("]."))
+    text = F.when(F.col("turn") % 4 == 3, F.concat(F.lit("**NO_ANSWER**: "), F.coalesce("text", F.lit("")))).when(F.col("turn") % 4 == 2, F.col("text")).otherwise(F.concat(F.coalesce("text", F.lit("")), mark))
+    read = Q.read_answers(load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", text.alias("text")), "text", 12)
+    return read.select("conv_id", "turn", "role", F.sha2("text", 256).alias("text_sha256"), F.array_join("cited", ",").alias("cited"), "dropped", "status")
