@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import facts as A
+from ..operators import stretches as St
 from .registry import load, query
 from .sequences import samples
 
@@ -118,10 +119,8 @@ def passage_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT timeline, file, row_number() OVER (PARTITION BY timeline ORDER BY first, file) AS place, CASE WHEN video_uses > 0 THEN video_uses ELSE audio_uses END AS uses FROM g""")
 def timeline_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct files of a timeline in order of their first clip; uses on picture tracks count before those on sound tracks."""
-    clips = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("timeline"), F.col("l_partkey").alias("file"), F.col("l_linenumber").alias("pos"), (F.col("l_returnflag") == "A").alias("audio"))
-    g = clips.groupBy("timeline", "file").agg(F.min("pos").alias("first"), F.sum((~F.col("audio")).cast("long")).alias("v"), F.sum(F.col("audio").cast("long")).alias("a"))
-    w = Window.partitionBy("timeline").orderBy("first", "file")
-    return g.select("timeline", "file", F.row_number().over(w).alias("place"), F.when(F.col("v") > 0, F.col("v")).otherwise(F.col("a")).alias("uses"))
+    clips = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("timeline"), F.col("l_partkey").alias("file"), F.col("l_linenumber").alias("pos"), "l_returnflag")
+    return St.used_files(clips, "timeline", "file", "pos", F.col("l_returnflag") == "A")
 
 
 @query("""SELECT lang, count(*) FILTER (n_chars = 0 OR text IS NULL) AS empty, count(*) FILTER (n_chars > 0 AND doc_id % 4 = 0) AS added, count(*) FILTER (n_chars > 0 AND doc_id % 4 = 1) AS changed, count(*) FILTER (n_chars > 0 AND doc_id % 4 > 1) AS unchanged FROM documents GROUP BY lang""")
@@ -358,11 +357,7 @@ SELECT p.page_id, arg_max(root, length(root)) AS root FROM p JOIN r ON starts_wi
 def covering_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The deepest root folder that holds a file: a file's own prefixes meet the roots."""
     pages = load(spark, sf_dir, "pages").select("page_id", "url")
-    roots = pages.select(F.regexp_replace("url", "/[^/]*$", "").alias("root")).distinct()
-    parts = F.split("url", "/")
-    prefixes = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
-    met = pages.select("page_id", F.explode(prefixes).alias("root")).join(roots, "root")
-    return met.groupBy("page_id").agg(F.max_by("root", F.length("root")).alias("root"))
+    return St.deepest_root(pages, pages.select(F.regexp_replace("url", "/[^/]*$", "").alias("root")), "page_id", "url", "root")
 
 
 @query("""WITH s AS (SELECT o_orderkey, o_orderstatus = 'F' AS offline, EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 48) AS running FROM orders) SELECT o_orderkey, offline AND NOT running AS taken FROM s""")
@@ -377,10 +372,8 @@ def forgotten_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
 def file_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file is replaced only while it holds what was written to it."""
     docs = load(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
-    ledger = docs.select("doc_id", F.sha2("t", 256).alias("written"))
     files = docs.where("doc_id % 5 <> 0").select("doc_id", F.sha2(F.when(F.col("doc_id") % 7 == 0, "edited").otherwise(F.col("t")), 256).alias("holds"))
-    action = F.when(F.col("holds").isNull(), "create").when(F.col("holds") == F.col("written"), "replace").otherwise("conflict")
-    return ledger.join(files, "doc_id", "left").select("doc_id", action.alias("action"))
+    return St.ledger_actions(docs.select("doc_id", F.sha2("t", 256).alias("written")), files, "doc_id", "written", "holds")
 
 
 @query("""WITH a AS (SELECT p_partkey, lower(p_brand || '/' || p_type) AS rel, CASE WHEN p_size % 2 = 0 THEN '/lib/' || p_brand ELSE '/other' END AS root FROM part) SELECT p_partkey, CASE WHEN starts_with(root, '/lib/') THEN substr(root, 6) || '/' || rel ELSE rel END AS rel, CASE WHEN starts_with(root, '/lib/') THEN '/lib' ELSE root END AS root FROM a""")
@@ -388,5 +381,4 @@ def reparented_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of roots below a new folder root move under it: their path gets the part in between."""
     root = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("/lib/"), "p_brand")).otherwise("/other")
     rows = load(spark, sf_dir, "part").select("p_partkey", F.lower(F.concat("p_brand", F.lit("/"), "p_type")).alias("rel"), root.alias("root"))
-    inside = F.startswith("root", F.lit("/lib/"))
-    return rows.select("p_partkey", F.when(inside, F.concat(F.substring("root", 6, 1000), F.lit("/"), "rel")).otherwise(F.col("rel")).alias("rel"), F.when(inside, "/lib").otherwise(F.col("root")).alias("root"))
+    return St.under_root(rows, "root", "rel", "/lib")
\ No newline at end of file

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import sequences as Q
+from ..operators import stretches as St
 from .registry import load, query
 
 US = "epoch_us(ts)"
@@ -113,27 +114,21 @@ def central_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH p AS (SELECT user_id, event_id, epoch_us(ts) AS us, value, lag(value) OVER w AS v0, lag(epoch_us(ts)) OVER w AS u0 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
 SELECT user_id, event_id, round(u0 + (50.0::DOUBLE - v0) / (value - v0) * (us - u0), 0)::BIGINT AS crossing_us FROM p WHERE (v0 < 50 AND value >= 50) OR (v0 >= 50 AND value < 50)""")
 def crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("us", "event_id")
-    rows = samples(spark, sf_dir).withColumns({"v0": F.lag("value").over(w), "u0": F.lag("us").over(w)}).where("(v0 < 50 AND value >= 50) OR (v0 >= 50 AND value < 50)")
-    return rows.select("user_id", "event_id", F.round(F.col("u0") + (50.0 - F.col("v0")) / (F.col("value") - F.col("v0")) * (F.col("us") - F.col("u0")), 0).cast("long").alias("crossing_us"))
+    rows = St.crossing_times(samples(spark, sf_dir), ["user_id"], ["us", "event_id"], "us", "value", 50.0, "at")
+    return rows.select("user_id", "event_id", F.round("at", 0).cast("long").alias("crossing_us"))
 
 
 @query("""WITH m AS (SELECT user_id, event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 6) AS mean, count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS n, epoch_us(ts) AS us FROM events)
 SELECT user_id, event_id, mean FROM m WHERE n = 10 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY mean DESC, us, event_id) = 1""")
 def best_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("us", "event_id").rowsBetween(-9, 0)
-    rows = samples(spark, sf_dir).withColumns({"mean": F.round(F.avg("value").over(w), 6), "n": F.count(F.lit(1)).over(w)}).where("n = 10")
-    return rows.withColumn("r", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("mean"), "us", "event_id"))).where("r = 1").select("user_id", "event_id", "mean")
+    return St.best_run(samples(spark, sf_dir), ["user_id"], ["us", "event_id"], "value", 10).select("user_id", "event_id", "mean")
 
 
 @query("""WITH x AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events),
 k AS (SELECT DISTINCT user_id, (round_even(j * (n - 1) / 4.0::DOUBLE, 0))::BIGINT AS i FROM x, (SELECT unnest([0, 1, 2, 3, 4]) AS j)) SELECT x.user_id, x.event_id FROM x JOIN k ON k.user_id = x.user_id AND k.i = x.i""")
 def even_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five rows a key, evenly spread, first and last included."""
-    w = Window.partitionBy("user_id")
-    rows = samples(spark, sf_dir).withColumns({"i": F.row_number().over(w.orderBy("us", "event_id")) - 1, "n": F.count(F.lit(1)).over(w)})
-    picks = F.array(*[F.bround(F.lit(float(j)) * (F.col("n") - 1) / 4.0).cast("long") for j in range(5)])
-    return rows.where(F.array_contains(picks, F.col("i").cast("long"))).select("user_id", "event_id")
+    return St.evenly(samples(spark, sf_dir), ["user_id"], ["us", "event_id"], 5, ends=True).select("user_id", "event_id")
 
 
 @query()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import relational as R
 from ..operators import shots as S
+from ..operators import stretches as St
 from .registry import load, query
 from .sequences import samples
 
@@ -48,8 +49,7 @@ def motion_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT event_id, min(value) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 7200000000 PRECEDING AND CURRENT ROW) < 20 AS fades FROM events""")
 def fade_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Did the value fall low shortly before?"""
-    w = Window.partitionBy("user_id").orderBy("us").rangeBetween(-7_200_000_000, 0)
-    return samples(spark, sf_dir).select("event_id", (F.min("value").over(w) < 20).alias("fades"))
+    return St.low_before(samples(spark, sf_dir), ["user_id"], "us", "value", 7_200_000_000, 20, "fades").select("event_id", "fades")
 
 
 @query("""SELECT o_orderkey, CASE WHEN d < 90 THEN 1 WHEN d <= 300 THEN greatest(2, least(4, round_even(d / 45.0::DOUBLE, 0)::INTEGER)) ELSE greatest(4, least(12, round_even(3 + d / 400.0::DOUBLE, 0)::INTEGER)) END AS chapters FROM (SELECT o_orderkey, o_totalprice / 100 AS d FROM orders)""")
@@ -96,9 +96,7 @@ def snapped_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT b.k, b.block, string_agg(t, ' ' ORDER BY s, e, i, t) AS said FROM b JOIN w ON w.k = b.k AND (s + e) / 2 >= a AND (s + e) / 2 < z GROUP BY ALL""")
 def speech_by_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words go to the block that holds their middle; blocks of equal length are a bucket of it."""
-    rows = words(spark, sf_dir).withColumn("block", F.floor((F.col("s") + F.col("e")) / 2 / 4.0)).where("block < 5")
-    said = F.transform(F.array_sort(F.collect_list(F.struct("s", "e", "i", "t"))), lambda x: x["t"])
-    return rows.groupBy("k", "block").agg(F.array_join(said, " ").alias("said"))
+    return St.said_in_blocks(words(spark, sf_dir), ["k"], "s", "e", ["s", "e", "i"], "t", 4.0, most=5)
 
 
 @query(f"WITH {_WORDS} SELECT DISTINCT k, i FROM w WHERE EXISTS (SELECT 1 FROM w g WHERE g.k = w.k AND g.i % 2 = 0 AND (w.s + w.e) / 2 BETWEEN g.s - 0.5 AND g.e + 0.5) AND i % 2 = 1")
@@ -106,10 +104,7 @@ def midpoints_within(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words whose middle lies in a gap: both are dealt to buckets of four seconds."""
     rows = words(spark, sf_dir)
     gaps = rows.where("i % 2 = 0").select("k", (F.col("s") - 0.5).alias("a"), (F.col("e") + 0.5).alias("z"))
-    gaps = gaps.withColumn("cell", F.explode(F.sequence(F.floor(F.col("a") / 4), F.floor(F.col("z") / 4))))
-    mid = (F.col("s") + F.col("e")) / 2
-    met = rows.where("i % 2 = 1").withColumn("cell", F.floor(mid / 4)).join(gaps, ["k", "cell"]).where((mid >= F.col("a")) & (mid <= F.col("z")))
-    return met.select("k", "i").distinct()
+    return St.middles_within(rows.where("i % 2 = 1"), gaps, ["k"], "s", "e", "a", "z", 4.0).select("k", "i").distinct()
 
 
 _SHOT = "h AS (SELECT user_id, (epoch_us(ts) // 21600000000)::BIGINT AS shot, min(epoch_us(ts)) AS s FROM events GROUP BY ALL)"
@@ -121,33 +116,29 @@ def shot_of_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shot in force at a frame, which some frames may lead by ten minutes: one union, one sort."""
     rows = samples(spark, sf_dir)
     starts = rows.groupBy("user_id", F.floor(F.col("us") / 21600000000).alias("shot")).agg(F.min("us").alias("t"))
-    frames = rows.select("user_id", (F.col("us") + F.when(F.col("event_type") == "click", 600000000).otherwise(0)).alias("t"), "event_id", F.lit(None).cast("long").alias("shot"))
-    both = frames.unionByName(starts.withColumn("event_id", F.lit(None).cast("long")))
-    w = Window.partitionBy("user_id").orderBy("t", F.col("event_id").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("shot", F.last("shot", ignorenulls=True).over(w)).where("event_id is not null").select("event_id", "shot")
+    frames = rows.select("user_id", (F.col("us") + F.when(F.col("event_type") == "click", 600000000).otherwise(0)).alias("t"), "event_id")
+    return St.in_force(frames, starts, ["user_id"], "t", "t", "shot").select("event_id", "shot")
 
 
 @query(f"""WITH {_SHOT}, e AS (SELECT *, s + 7200000000 AS e FROM h), q AS (SELECT DISTINCT user_id, 1704067200000000 + d * 86400000000 AS a, 1704067200000000 + d * 86400000000 + 36000000000 AS z, d FROM events, range(0, 30) r(d)),
 m AS (SELECT q.user_id, q.d, max(shot) AS last, count(*) AS n FROM q JOIN e ON e.user_id = q.user_id AND e.e > q.a AND e.s < q.z GROUP BY ALL) SELECT * FROM m""")
 def range_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a range of each day holds: shots meet the days that they touch."""
-    day = 86400000000
-    shots = samples(spark, sf_dir).groupBy("user_id", F.floor(F.col("us") / 21600000000).alias("shot")).agg(F.min("us").alias("s"))
-    base = 1704067200000000
-    first, last = F.floor((F.col("s") - base) / day), F.floor((F.col("s") + 7200000000 - base) / day)
-    met = shots.withColumn("d", F.explode(F.sequence(first, last))).where((F.col("d") >= 0) & (F.col("d") < 30))
-    met = met.where((F.col("s") + 7200000000 > base + F.col("d") * day) & (F.col("s") < base + F.col("d") * day + 36000000000))
-    return met.groupBy("user_id", "d").agg(F.max("shot").alias("last"), F.count(F.lit(1)).alias("n"))
+    day, base = 86400000000, 1704067200000000
+    rows = samples(spark, sf_dir)
+    shots = rows.groupBy("user_id", F.floor(F.col("us") / 21600000000).alias("shot")).agg(F.min("us").alias("s")).withColumn("e", F.col("s") + 7200000000)
+    days = rows.select("user_id").distinct().select("user_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(29).cast("long"))).alias("d"))
+    days = days.withColumns({"a": base + F.col("d") * day, "z": base + F.col("d") * day + 36000000000})
+    return St.contents(days, shots, ["user_id"], "d", ("a", "z"), "shot", ("s", "e"), day)
 
 
 @query(f"""WITH {_SHOT}, b AS (SELECT user_id, shot AS no, s, s + 7200000000 AS e FROM h), c AS (SELECT user_id, min(no) AS first, max(no) AS last, no // 12 AS chapter FROM b GROUP BY user_id, no // 12)
 SELECT c.user_id, c.chapter, x.s AS start_us, y.e AS end_us FROM c JOIN b x ON x.user_id = c.user_id AND x.no = c.first JOIN b y ON y.user_id = c.user_id AND y.no = c.last""")
 def chapter_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chapters name their first and last block; two joins give the times."""
-    blocks = samples(spark, sf_dir).groupBy("user_id", F.floor(F.col("us") / 21600000000).alias("no")).agg(F.min("us").alias("s")).withColumn("e", F.col("s") + 7200000000)
+    blocks = samples(spark, sf_dir).groupBy("user_id", F.floor(F.col("us") / 21600000000).alias("no")).agg(F.min("us").alias("start_us")).withColumn("end_us", F.col("start_us") + 7200000000)
     chapters = blocks.groupBy("user_id", F.floor(F.col("no") / 12).alias("chapter")).agg(F.min("no").alias("first"), F.max("no").alias("last"))
-    out = chapters.join(blocks.select("user_id", F.col("no").alias("first"), F.col("s").alias("start_us")), ["user_id", "first"])
-    return out.join(blocks.select("user_id", F.col("no").alias("last"), F.col("e").alias("end_us")), ["user_id", "last"]).select("user_id", "chapter", "start_us", "end_us")
+    return St.group_times(chapters, blocks, ["user_id"], "first", "last", "no", "start_us", "end_us").select("user_id", "chapter", "start_us", "end_us")
 
 
 _PIECES = "p AS (SELECT l_orderkey AS k, (l_linenumber - 1) * 12.0::DOUBLE AS s, (l_linenumber - 1) * 12.0::DOUBLE + greatest(1.0::DOUBLE, l_quantity / 5) AS e, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) AS i FROM lineitem)"
@@ -271,12 +262,8 @@ def salient_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As many of the most salient blocks as the video's length and blocks allow."""
     q = F.col("l_quantity")
     score = 50 * q / 50 + 20 * (F.col("l_discount") * 10) + 15 * (F.col("l_tax") * 12) + 10 * F.least(F.lit(1.0), F.col("l_linenumber") / 3.0) + 5 * F.least(F.lit(1.0), q / 40) - F.when(q / 10 < 2, 30).otherwise(0)
-    whole = Window.partitionBy("l_orderkey")
-    n, minutes = F.count(F.lit(1)).over(whole), F.sum("l_quantity").over(whole) / 60
-    count = F.greatest(F.lit(1), F.least(F.least(F.lit(8), F.greatest(F.lit(1), F.floor(minutes + 0.5))), F.floor(n / 3)))
-    rows = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", score.alias("s"), count.alias("c"))
-    ranked = rows.withColumn("r", F.row_number().over(whole.orderBy(F.desc(F.round("s", 6)), "l_linenumber")))
-    return ranked.where("r <= c").select("l_orderkey", "l_linenumber", F.round("s", 4).alias("salience"))
+    rows = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", score.alias("s"), "l_quantity")
+    return St.most_salient(rows, ["l_orderkey"], "s", "l_linenumber", "l_quantity").select("l_orderkey", "l_linenumber", F.round("s", 4).alias("salience"))
 
 
 @query("WITH b AS (SELECT user_id, arg_min(event_id, struct_pack(d := abs(epoch_us(ts) - (1704067200000000 + 259200000000)), e := event_id)) AS poster, arg_max(event_id, struct_pack(f := event_type = 'view', v := value, e := event_id)) AS best FROM events GROUP BY user_id) SELECT * FROM b")
@@ -290,10 +277,6 @@ def posters(spark: SparkSession, sf_dir: str) -> DataFrame:
 k AS (SELECT DISTINCT user_id, round_even(j * n / least(n, 7)::DOUBLE, 0)::BIGINT AS i FROM x, range(0, 7) r(j) WHERE j < least(n, 7)) SELECT x.user_id, x.event_id FROM x JOIN k USING (user_id, i)""")
 def thinned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At most seven frames of each video, evenly spread, the first one kept."""
-    w = Window.partitionBy("user_id")
-    rows = samples(spark, sf_dir).withColumns({"i": F.row_number().over(w.orderBy("us", "event_id")) - 1, "n": F.count(F.lit(1)).over(w)})
-    most = F.least(F.col("n"), F.lit(7))
-    picks = F.transform(F.sequence(F.lit(0), most.cast("int") - 1), lambda j: F.bround(j * F.col("n") / most.cast("double")).cast("long"))
-    return rows.where(F.array_contains(picks, F.col("i").cast("long"))).select("user_id", "event_id")
+    return St.evenly(samples(spark, sf_dir), ["user_id"], ["us", "event_id"], 7, ends=False).select("user_id", "event_id")
 
 
