@@ -48,3 +48,24 @@ def iou(a: Column, b: Column) -> Column:
 
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
+
+
+# Fixed values.
+PRESENT, NAMED, SCENERY, UNDESCRIBED, EACH_MORE, FULL_SIDE, SMALL, LEAVING, LEAVING_AREA, EDGE = 0.7, 0.55, 0.35, 0.5, 0.15, 0.4, 0.25, 0.6, 0.25, 0.02
+
+
+def subject_presence(described: Column, named: Column, beings: Column) -> Column:
+    """How well a frame shows a subject, from 0 to 1.
+
+    described: boolean; named: number of main things that are no scenery; beings: array of boxes (x1, y1, x2, y2 in parts of
+    the picture). More of either raise the score; beings that are small lower it, and so does a frame in which all of them
+    are leaving: small at an edge. The better of the two counts, and scenery alone counts least.
+    """
+    boxes = F.coalesce(beings, F.array().cast("array<struct<x1:double,y1:double,x2:double,y2:double>>"))
+    area = F.transform(boxes, box_area)
+    several = lambda base, n: F.least(F.lit(1.0), base + EACH_MORE * (n - 1))
+    size = F.least(F.lit(1.0), F.sqrt(F.greatest(F.lit(0.0), F.array_max(area))) / FULL_SIDE)
+    leaving = F.forall(boxes, lambda b: ((F.least(b["x1"], b["y1"]) < EDGE) | (F.greatest(b["x2"], b["y2"]) > 1 - EDGE)) & (box_area(b) < LEAVING_AREA))
+    alive = several(F.lit(PRESENT), F.size(boxes)) * (1 - SMALL * (1 - size)) * F.when(leaving, LEAVING).otherwise(1.0)
+    things = F.when(F.coalesce(named, F.lit(0)) > 0, several(F.lit(NAMED), named)).otherwise(SCENERY)
+    return F.when(~F.coalesce(described, F.lit(False)), UNDESCRIBED).when(F.size(boxes) > 0, F.greatest(things, alive)).otherwise(things)
