@@ -34,7 +34,7 @@ from .textnp import chunks
 
 #: Ids of three words fit in one 64-bit key; a task begins a new vocabulary before it has more words.
 BITS = 21
-ENTRIES, BURST, CHUNK = 1 << 20, 4096, 1 << 23
+ENTRIES, BURST, CHUNK = 3 << 18, 4096, 1 << 22
 LEAST_CELLS, MAX_CELLS = 1 << 16, 1 << 26
 HOT, PARTS, SALTS, BANDS = 1000, 1 << 16, 64, 1000
 #: Odd factors under 2^28, so that sums of five products with a 32-bit checksum stay under 2^63.
