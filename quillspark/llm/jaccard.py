@@ -35,7 +35,7 @@ from .textnp import LOWER, SPACE, chunks, flat, mixed, prefix_hash, shingles, sp
 ORDERS = 3
 FLUSH = 1_500_000
 #: Rows of a bucket, at first and at most.
-ROWS = (4000, 64_000)
+ROWS = (2000, 16_000)
 #: Sets of one blob, so that 16 bits number them.
 OWNERS = 60_000
 _SALTS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
