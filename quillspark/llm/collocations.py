@@ -34,7 +34,7 @@ from .textnp import chunks
 
 #: Ids of three words fit in one 64-bit key; a task begins a new vocabulary before it has more words.
 BITS = 21
-ENTRIES, BURST, CHUNK = 3 << 18, 4096, 1 << 22
+ENTRIES, BURST, CHUNK, PENDING = 3 << 18, 4096, 1 << 22, 1 << 22
 LEAST_CELLS, MAX_CELLS = 1 << 16, 1 << 26
 HOT, PARTS, SALTS, BANDS = 1000, 1 << 16, 64, 1000
 #: Odd factors under 2^28, so that sums of five products with a 32-bit checksum stay under 2^63.
@@ -193,8 +193,13 @@ def count_runs(length: int, marks: tuple[np.ndarray, int] | None, hot: dict[int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tries: dict[str, HatTrie] = {}
+        # Phrases of some chunks together, so that the trie is walked once for them.
+        pending: dict[str, list[np.ndarray]] = {}
         vocabulary = Vocabulary()
 
+        def settle(lang: str) -> None:
+            tries.setdefault(lang, HatTrie(length, burst)).add(*np.unique(np.concatenate(pending.pop(lang)), return_counts=True))
+
         def ids_of(keys: np.ndarray) -> list[np.ndarray]:
             return [(keys >> (BITS * (length - 1 - i))) & ((1 << BITS) - 1) for i in range(length)]
 
@@ -217,6 +222,8 @@ def count_runs(length: int, marks: tuple[np.ndarray, int] | None, hot: dict[int,
                 yield pa.RecordBatch.from_arrays([pa.array(part[order[at : at + (1 << 16)]]), pa.array([lang] * len(some), pa.string()), phrases.take(some).cast(pa.large_string()).cast(pa.string()), pa.array(counts[order[at : at + (1 << 16)]])], ["part", "lang", "phrase", "n"])
 
         def relieve(keep: int) -> Iterator[pa.RecordBatch]:
+            for lang in list(pending):
+                settle(lang)
             for lang in sorted(tries, key=lambda x: -len(tries[x])):
                 if sum(map(len, tries.values())) <= keep:
                     break
@@ -246,7 +253,10 @@ def count_runs(length: int, marks: tuple[np.ndarray, int] | None, hot: dict[int,
                             there = (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
                             held &= (there[:-1] & there[1:]) if len(there) else held
                         keys = reduce(lambda a, b: (a << BITS) | b, [w[held] for w in windows])
-                        tries.setdefault(lang, HatTrie(length, burst)).add(*np.unique(keys, return_counts=True))
+                        pending.setdefault(lang, []).append(keys)
+                    if sum(len(k) for keys in pending.values() for k in keys) >= min(PENDING, 8 * entries):
+                        for one in list(pending):
+                            settle(one)
                     if sum(map(len, tries.values())) > entries:
                         yield from relieve(entries // 2)
         yield from relieve(0)
