@@ -1,6 +1,6 @@
 """Chapters: a video's blocks cut into contiguous parts, and single boundaries chosen by how much changes there.
 
-The exact cut needs all costs of a video's blocks at once, n x n numbers, so it runs per video in applyInPandas (2000
+The exact cut needs all costs of a video's blocks at once, n x n numbers, so it runs per video in a task of Python (2000
 blocks are 32 MB). The choice of boundaries is one array fold a video and stays in the JVM.
 """
 
@@ -9,11 +9,10 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shots import _folded
+from .runs import Group, folded
 
 # Fixed values.
 COMMON_SHARE, FEW_BLOCKS, MIN_CHAPTER_S, WEIGHT_CAP_S = 0.6, 12, 20.0, 30.0
@@ -75,10 +74,10 @@ def chapters(df: DataFrame, keys: Sequence[str], start: str, end: str, words: st
     weighs its seconds up to WEIGHT_CAP_S, and one more. first and last count blocks from 0 in order of start.
     """
 
-    def fold(pdf: pd.DataFrame) -> Iterator[tuple]:
-        begin, until = pdf[start].to_numpy(float), pdf[end].to_numpy(float)
-        whole, wanted = max(float(pdf[duration].iloc[0]), float(until[-1])), int(pdf[parts].iloc[0])
-        cost = spreads(term_vectors([list(w) if w is not None else [] for w in pdf[words]]), np.minimum(until - begin, WEIGHT_CAP_S) + 1.0)
+    def fold(g: Group) -> Iterator[tuple]:
+        begin, until = np.array(g[start], float), np.array(g[end], float)
+        whole, wanted = max(float(g[duration][0]), float(until[-1])), int(g[parts][0])
+        cost = spreads(term_vectors([list(w) if w is not None else [] for w in g[words]]), np.minimum(until - begin, WEIGHT_CAP_S) + 1.0)
         edges = np.append(begin, whole)
         allowed = cost.copy()
         allowed[edges[None, :] - edges[:, None] < max(MIN_CHAPTER_S, 0.5 * whole / max(1, wanted))] = np.inf
@@ -86,7 +85,7 @@ def chapters(df: DataFrame, keys: Sequence[str], start: str, end: str, words: st
         for no, (i, j) in enumerate(zip(bounds, bounds[1:], strict=False)):
             yield no, i, j - 1, float(begin[i]), float(edges[j]), round(float(cost[i, j]), 9)
 
-    return _folded(df, keys, fold, "chapter int, first int, last int, a double, b double, spread double", [start, end])
+    return folded(df, keys, fold, "chapter int, first int, last int, a double, b double, spread double", [start, end])
 
 
 def spaced_bounds(df: DataFrame, keys: Sequence[str], at: str, score: str, duration: Column, most: Column, apart: Column) -> DataFrame:

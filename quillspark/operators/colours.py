@@ -5,10 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 
-from .shots import _folded
+from .runs import Group, folded
 
 # Fixed values.
 ROUNDS, LEAST_MOVE, DUST = 20, 1.0, 0.005
@@ -47,8 +46,9 @@ def dominant_colours(df: DataFrame, keys: Sequence[str], channels: Sequence[str]
     not count. A picture is reduced to some thousand pixels before; a group must fit in a task.
     """
 
-    def fold(pdf: pd.DataFrame) -> Iterator[tuple]:
-        pixels = pdf[list(channels)].dropna().to_numpy(float)
+    def fold(g: Group) -> Iterator[tuple]:
+        pixels = np.array([g[c] for c in channels], float).T
+        pixels = pixels[~np.isnan(pixels).any(axis=1)]
         if not len(pixels):
             return
         centres, count = k_means(pixels, k)
@@ -60,4 +60,4 @@ def dominant_colours(df: DataFrame, keys: Sequence[str], channels: Sequence[str]
             if share >= DUST:
                 yield rank, name, round(share, 3)
 
-    return _folded(df, keys, fold, "rank int, colour string, share double", list(channels))
+    return folded(df, keys, fold, "rank int, colour string, share double", list(channels))
