@@ -40,3 +40,8 @@ def test_key_larger_than_a_batch(spark):
 def test_many_small_keys_are_no_groups_of_python(spark, small, name):
     plan = QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+
+
+@pytest.mark.parametrize("name", ["box_reading_order", "matched_boxes", "matched_beings"])
+def test_boxes_are_no_groups_of_python(spark, small, name):
+    test_many_small_keys_are_no_groups_of_python(spark, small, name)
