@@ -91,7 +91,8 @@ def curve(levels: DataFrame, hz: int = 1) -> DataFrame:
 def span_means(scores: DataFrame, spans: DataFrame) -> DataFrame:
     """(video, span, class, mean): scores of frames weighted by how long their patch meets the span (video, span, a, b).
 
-    Spans meet frames by the bin of SPAN_BIN seconds that both touch, so only neighbours are joined.
+    Spans meet frames by the bin of SPAN_BIN seconds that both touch, so only neighbours are joined. Sums are taken in order of
+    frames, so that a mean is the same in each run.
     """
     width = 16 * PATCH_S
     a, b = HOP_S * F.col("frame"), HOP_S * F.col("frame") + PATCH_S
@@ -99,7 +100,9 @@ def span_means(scores: DataFrame, spans: DataFrame) -> DataFrame:
     wide = spans.withColumn("bin", F.explode(F.sequence(F.floor(F.col("a") / width), F.floor(F.col("b") / width))))
     met = near.join(wide, ["video", "bin"]).withColumn("w", F.least(b, F.col("b")) - F.greatest(a, F.col("a"))).where("w > 0")
     once = met.where(F.col("bin") == F.floor(F.greatest(a, F.col("a")) / width))
-    return once.groupBy("video", "span", "class").agg((F.sum(F.col("w") * F.col("score")) / F.sum("w")).alias("mean"))
+    held = once.groupBy("video", "span", "class").agg(F.array_sort(F.collect_list(F.struct("frame", "w", "score"))).alias("held"))
+    total = lambda part: F.aggregate("held", F.lit(0.0), lambda s, x: s + part(x))
+    return held.select("video", "span", "class", (total(lambda x: x["w"] * x["score"]) / total(lambda x: x["w"])).alias("mean"))
 
 
 def events(hot: DataFrame, parents: DataFrame) -> DataFrame:

@@ -107,7 +107,8 @@ def span_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = spans.select("video", "span", (F.col("span") * F.col("n") * 0.12).alias("a"), ((F.col("span") + 1) * F.col("n") * 0.12).alias("b"))
     w = Window.partitionBy("video", "span").orderBy(F.desc("mean"), "class")
     best = A.span_means(rows.select("video", "frame", "class", "score"), spans).where(F.col("mean") >= A.LABEL_FLOOR).withColumn("r", F.row_number().over(w)).where("r <= 3")
-    return best.select("video", "span", "class", F.round("mean", 4).alias("mean"))
+    # Half of the last place goes up, as in SQL, though the mean has no exact half.
+    return best.select("video", "span", "class", (F.round(F.col("mean") * 10000, 0) / 10000).alias("mean"))
 
 
 _EVENTS = """hot AS (SELECT *, CASE WHEN s - lag(e) OVER (PARTITION BY video, class ORDER BY frame) > 1.0::DOUBLE + 1e-9::DOUBLE THEN 1 ELSE 0 END AS nw FROM score WHERE score >= 0.5),

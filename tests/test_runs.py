@@ -50,3 +50,32 @@ def test_boxes_are_no_groups_of_python(spark, small, name):
 @pytest.mark.parametrize("name", ["fused_subjects", "reframe_plan"])
 def test_frames_are_no_groups_of_python(spark, small, name):
     test_many_small_keys_are_no_groups_of_python(spark, small, name)
+
+
+def test_means_of_spans_do_not_depend_on_the_order_of_rows(spark):
+    from quillspark.operators import sounds as A
+
+    rows = [("v", i, "c", (i * 37 % 101) / 100.0) for i in range(200)]
+    spans = spark.createDataFrame([("v", 0, 0.0, 40.0), ("v", 1, 40.0, 97.0)], "video string, span int, a double, b double")
+    got = []
+    for each in (rows, rows[::-1], rows[::3] + rows[1::3] + rows[2::3]):
+        scores = spark.createDataFrame(each, "video string, frame int, class string, score double").coalesce(1)
+        got.append(sorted((r["span"], r["mean"]) for r in A.span_means(scores, spans).collect()))
+    assert got[0] == got[1] == got[2]
+
+
+def test_many_points_and_places_of_one_position(spark):
+    """Pairs that are made do not grow with how many points and places share a position."""
+    from quillspark.operators import places
+
+    here = spark.range(300).select("id", (F.col("id") % 3 * 10.0).alias("lat"), F.lit(5.0).alias("lon"))
+    there = spark.range(400).select(F.col("id").alias("p"), (F.col("id") % 4 * 10.0).alias("p_lat"), F.lit(5.0).alias("p_lon"))
+    written = []
+
+    def write(df):
+        written.append(df.localCheckpoint())
+        return written[-1]
+
+    got = places.nearest_k(here, there, "id", "p", 2, write, 500.0).collect()
+    assert {(r["id"], r["rank"], r["p"], r["km"]) for r in got} == {(i, r, i % 3 + 4 * (r - 1), 0.0) for i in range(300) for r in (1, 2)}
+    assert max(df.count() for df in written) <= 8
