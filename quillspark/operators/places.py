@@ -3,7 +3,9 @@
 Points and places are dealt to cubes that the sphere's unit vectors fall in, so that poles and the date line are like
 any other place. A point looks into the 27 cubes around its own: what they do not hold is farther than a cube's side. A
 point whose k-th place is within a side is done; the others go on with cubes of twice the side. So a point
-goes on only where it has seen few places.
+goes on only where it has seen few places. The first side is one that holds about k places if they lie evenly, so that
+more places make smaller cubes. Points of one position are looked up once, and of the places of one position only
+the first k can be among the nearest.
 """
 
 from __future__ import annotations
@@ -17,6 +19,10 @@ from pyspark.sql import functions as F
 from ..functions.space import EARTH_KM, haversine_km
 
 
+#: The smallest side to begin with: cubes are numbered by integers.
+LEAST_SIDE_KM = 0.01
+
+
 def _chord(km: float) -> float:
     return 2 * math.sin(min(math.pi / 2, km / (2 * EARTH_KM)))
 
@@ -35,10 +41,21 @@ def nearest_k(points: DataFrame, places: DataFrame, key: str, place: str, k: int
 
     write(df) cuts the lineage of a round. Points or places without a position are left out.
     """
-    open_ = points.where("lat is not null and lon is not null").select(key, "lat", "lon")
-    there = places.where("p_lat is not null and p_lon is not null").select(place, "p_lat", "p_lon")
-    limit = math.pi * EARTH_KM + 1 if max_km is None else max_km
-    done, side_km = [], min(side_km, limit)
+    known = points.where("lat is not null and lon is not null").select(key, "lat", "lon")
+    open_ = write(known.select("lat", "lon").distinct().withColumn("__at", F.monotonically_increasing_id()))
+    same = Window.partitionBy("p_lat", "p_lon").orderBy(place)
+    there = places.where("p_lat is not null and p_lon is not null").select(place, "p_lat", "p_lon").withColumn("__r", F.row_number().over(same))
+    there = write(there.where(F.col("__r") <= k).drop("__r"))
+    near = _nearest(open_, there, "__at", place, k, write, math.pi * EARTH_KM + 1 if max_km is None else max_km, side_km)
+    # Positions are few where many points share them, so that points go to their position's places, not to all.
+    at = known.join(open_, (known["lat"] == open_["lat"]) & (known["lon"] == open_["lon"])).select(key, "__at")
+    return at.join(near, "__at").select(key, place, "km", "rank")
+
+
+def _nearest(open_: DataFrame, there: DataFrame, key: str, place: str, k: int, write: Callable[[DataFrame], DataFrame], limit: float, side_km: float) -> DataFrame:
+    """nearest_k() of points and places that are written already."""
+    even_km = EARTH_KM * math.sqrt(4 * math.pi * k / max(1, there.count()))
+    done, side_km = [], min(side_km, limit, max(even_km, LEAST_SIDE_KM))
     while True:
         side = _chord(side_km)
         around = F.array(*[F.lit(d) for d in (-1, 0, 1)])
