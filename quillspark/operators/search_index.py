@@ -16,17 +16,20 @@ from __future__ import annotations
 import json
 import math
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import asdict, dataclass, field, replace
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.search_words import MIN_PREFIX, fold_all, query_terms
 from ..functions.text import tokens
-from ..session import shared_path
+from ..session import shared_path, ship
 from .retrieval import B, IDF_FLOOR, K1
 
 FANOUT = 4
@@ -34,6 +37,8 @@ FANOUT = 4
 FOLDER_BYTES, MAX_FOLDERS = 1 << 20, 4096
 #: Rows of graves that are broadcast (a key and a number each); more are joined by a shuffle.
 BROADCAST_GRAVES = 200_000
+#: Words of documents that are counted together in a task, and those of one document more.
+WORDS_AT_ONCE = 1 << 20
 INDEX_WORD = r"[\p{L}\p{N}\p{Co}]+"
 
 
@@ -171,12 +176,11 @@ class WordIndex:
         size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
         made = Segment(uuid.uuid4().hex, seq, 0, min(MAX_FOLDERS, max(1, math.ceil(size / FOLDER_BYTES))))
         texts.select("key", *_print(F.col("text"))).write.parquet(f"{self.path}/segments/{made.name}/docs")
-        # Dealt by key, so that the words of a document are counted where they are.
-        held = texts.repartition("key").select("key", self.analyse(F.col("text")).alias("t"))
-        rows = held.select("key", F.inline(F.transform(F.array("t"), lambda t: F.struct(F.size(t).alias("len"), t.alias("words")))))
-        each = rows.select("key", "len", F.posexplode("words").alias("pos", "term"))
-        post = each.groupBy("key", "len", "term").agg(F.sort_array(F.collect_list("pos")).alias("places"))
-        self._write_postings(post.select("term", "key", F.size("places").alias("tf"), "len", "places"), made)
+        held = texts.select("key", self.analyse(F.col("text")).alias("t"))
+        ship(self.spark)
+        key = texts.schema["key"].dataType.simpleString()
+        post = held.mapInArrow(_postings, f"term string, key {key}, tf int, len int, places array<int>")
+        self._write_postings(post, made)
         return made
 
     def _write_postings(self, post: DataFrame, made: Segment) -> None:
@@ -228,15 +232,42 @@ class WordIndex:
         now = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).where("key is not null")
         if not self.manifest().segments:
             return self.apply(now).docs, 0
-        before, prints = self.documents(), now.select("key", "text", *_print(F.col("text")))
-        changed = prints.join(before, ["key", "p1", "p2"], "left_anti").select("key", "text")
-        removed = before.join(now, "key", "left_anti").select("key")
-        counts = changed.count(), removed.count()
+        # Fingerprints are compared without the texts, which would be shuffled for each use of what changed.
+        before, prints = self.documents(), now.select("key", *_print(F.col("text")))
+        aside = f"{self.path}/aside/{uuid.uuid4().hex}"
+        prints.join(before, ["key", "p1", "p2"], "left_anti").select("key").write.parquet(f"{aside}/changed")
+        before.join(now.select("key"), "key", "left_anti").select("key").write.parquet(f"{aside}/removed")
+        fresh, removed = (self.spark.read.parquet(f"{aside}/{n}") for n in ("changed", "removed"))
+        counts = fresh.count(), removed.count()
+        changed = now.join(F.broadcast(fresh) if counts[0] <= BROADCAST_GRAVES else fresh.hint("shuffle_hash"), "key", "left_semi")
         if any(counts):
             self.apply(changed if counts[0] else None, removed if counts[1] else None)
+        fs, at = self._fs(aside)
+        fs.delete(at, True)
         return counts
 
 
+def _postings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, key, tf, len, places) of documents (key, t): a document's words are counted where they are read, without a shuffle or a sort of all words."""
+    for batch in batches:
+        length = pc.fill_null(pc.list_value_length(batch.column("t")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = np.cumsum(length) // WORDS_AT_ONCE
+        cuts = [*np.flatnonzero(np.append(True, part[1:] != part[:-1])).tolist(), batch.num_rows] if batch.num_rows else []
+        for low, high in zip(cuts, cuts[1:], strict=False):
+            rows, n = batch.slice(low, high - low), length[low:high]
+            words = rows.column("t").flatten().dictionary_encode()
+            if not len(words):
+                continue
+            doc, first = np.repeat(np.arange(len(n)), n), np.repeat(np.cumsum(n) - n, n)
+            pair = doc * len(words.dictionary) + words.indices.to_numpy()
+            order = np.argsort(pair, kind="stable")
+            heads = np.flatnonzero(np.append(True, pair[order][1:] != pair[order][:-1]))
+            one, ends = order[heads], np.append(heads, len(order)).astype(np.int32)
+            places = pa.ListArray.from_arrays(pa.array(ends), pa.array((order - first[order]).astype(np.int32)))
+            columns = [words.dictionary.take(words.indices.take(pa.array(one))), rows.column("key").take(pa.array(doc[one])), pa.array(np.diff(ends), pa.int32()), pa.array(n[doc[one]], pa.int32()), places]
+            yield pa.RecordBatch.from_arrays(columns, names=["term", "key", "tf", "len", "places"])
+
+
 def _spread(beginning: Column) -> Column:
     """Terms of one beginning are together, so that a term asked for as a beginning is in one folder."""
     return F.pmod(F.xxhash64(beginning), F.lit(1 << 30)).cast("int")
