@@ -48,8 +48,11 @@ def point_in_interval(points: DataFrame, spans: DataFrame, keys: Sequence[str],
 
 
 def overlaps(a: DataFrame, b: DataFrame, keys: Sequence[str], a_span: tuple[str, str], b_span: tuple[str, str], width: int) -> DataFrame:
-    """Pairs of spans of a key that overlap, with `overlap`; each pair once, in the bucket where the overlap starts."""
-    x, y = _bucketed(a, *a_span, width), _bucketed(b, *b_span, width)
+    """Pairs of spans of a key that overlap, with `overlap`; each pair once, in the bucket where the overlap starts.
+
+    Both sides are sorted and neither is broadcast: Spark takes a side to be as small as it was before rows were exploded.
+    """
+    x, y = _bucketed(a, *a_span, width), _bucketed(b, *b_span, width).hint("merge")
     low, high = F.greatest(a_span[0], b_span[0]), F.least(a_span[1], b_span[1])
     met = x.join(y, [*keys, "__bucket"]).where((high > low) & (F.floor(low / width) == F.col("__bucket")))
     return met.withColumn("overlap", high - low).drop("__bucket")
