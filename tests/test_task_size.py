@@ -39,3 +39,22 @@ def test_spoken_words_are_in_time_and_not_sorted(spark, tmp_path):
     # Rows are sorted before they are exploded into words.
     shown = plan(said)
     assert "Sort [" in shown and "Sort [" not in shown[: shown.index("Window")] and "inline" in shown[: shown.index("Window")]
+
+
+def test_words_are_counted_without_a_shuffle_or_a_sort(spark, tmp_path, monkeypatch):
+    from quillspark.operators import search_index as X
+
+    seen, write = [], X.WordIndex._write_postings
+
+    def watched(self, post, made):
+        seen.append(plan(post))
+        write(self, post, made)
+
+    monkeypatch.setattr(X.WordIndex, "_write_postings", watched)
+    docs = spark.createDataFrame([(1, "the sea the"), (2, "of the sea"), (3, None)], "doc_id long, text string").repartition(2)
+    docs.write.parquet(f"{tmp_path}/docs")
+    index = X.WordIndex(spark, f"{tmp_path}/i")
+    index.apply(spark.read.parquet(f"{tmp_path}/docs").withColumnRenamed("doc_id", "key"))
+    assert len(seen) == 1 and not re.search("Exchange|Sort|Aggregate", seen[0])
+    got = sorted((r["term"], r["key"], r["tf"], r["len"], r["places"]) for r in index.postings().collect())
+    assert got == [("of", 2, 1, 3, [0]), ("sea", 1, 1, 3, [1]), ("sea", 2, 1, 3, [2]), ("the", 1, 2, 3, [0, 2]), ("the", 2, 1, 3, [1])]
