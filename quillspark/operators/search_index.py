@@ -259,7 +259,8 @@ def _postings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(words):
                 continue
             doc, first = np.repeat(np.arange(len(n)), n), np.repeat(np.cumsum(n) - n, n)
-            pair = doc * len(words.dictionary) + words.indices.to_numpy()
+            # Term by term, so that rows of one term stand together in the shuffle and compress.
+            pair = words.indices.to_numpy().astype(np.int64) * len(n) + doc
             order = np.argsort(pair, kind="stable")
             heads = np.flatnonzero(np.append(True, pair[order][1:] != pair[order][:-1]))
             one, ends = order[heads], np.append(heads, len(order)).astype(np.int32)

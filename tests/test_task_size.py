@@ -58,3 +58,18 @@ def test_words_are_counted_without_a_shuffle_or_a_sort(spark, tmp_path, monkeypa
     assert len(seen) == 1 and not re.search("Exchange|Sort|Aggregate", seen[0])
     got = sorted((r["term"], r["key"], r["tf"], r["len"], r["places"]) for r in index.postings().collect())
     assert got == [("of", 2, 1, 3, [0]), ("sea", 1, 1, 3, [1]), ("sea", 2, 1, 3, [2]), ("the", 1, 2, 3, [0, 2]), ("the", 2, 1, 3, [1])]
+
+
+def test_words_of_many_documents_leave_a_task_term_by_term():
+    import pyarrow as pa
+
+    from quillspark.operators import search_index as X
+
+    docs = {7: "the sea the", 3: "of the sea", 9: None, 4: "", 5: "sea of the sea"}
+    batch = pa.RecordBatch.from_pydict({"key": list(docs), "t": [d and d.split() for d in docs.values()]}, schema=pa.schema([("key", pa.int64()), ("t", pa.list_(pa.string()))]))
+    rows = [r for b in X._postings([batch]) for r in b.to_pylist()]
+    terms = [r["term"] for r in rows]
+    # Rows of one term stand together, in the order of the documents.
+    assert terms == sorted(terms, key=terms.index)
+    got = [(r["term"], r["key"], r["tf"], r["len"], r["places"]) for r in rows]
+    assert got == [("the", 7, 2, 3, [0, 2]), ("the", 3, 1, 3, [1]), ("the", 5, 1, 4, [2]), ("sea", 7, 1, 3, [1]), ("sea", 3, 1, 3, [2]), ("sea", 5, 2, 4, [0, 3]), ("of", 3, 1, 3, [0]), ("of", 5, 1, 4, [1])]
