@@ -1,6 +1,7 @@
 """A stored inverted index that follows its documents: immutable segments, graves, levelled merging, atomic manifests.
 
-A segment holds postings (term, key, tf, len, places) and the documents' fingerprints (key, p1, p2). A change writes one
+A segment holds postings (term, key, tf, len, places), up to PACK of one term in a row, and the documents' fingerprints
+(key, p1, p2). A change writes one
 new segment with the changed documents and a file of graves: the keys whose rows in earlier segments are dead. When a
 level has FANOUT segments they are merged into one of the next level, without their dead rows. A manifest names the
 segments and graves of one state; it is written aside and published by a rename that fails if another writer was
@@ -39,6 +40,8 @@ FOLDER_BYTES, MAX_FOLDERS = 1 << 20, 4096
 BROADCAST_GRAVES = 200_000
 #: Words of documents that are counted together in a task, and those of one document more.
 WORDS_AT_ONCE = 1 << 20
+#: Postings of one term that are shuffled, sorted and stored as one row.
+PACK = 256
 INDEX_WORD = r"[\p{L}\p{N}\p{Co}]+"
 
 
@@ -159,15 +162,25 @@ class WordIndex:
         state = self.manifest()
         return self._read(state, "docs", state.segments)
 
-    def postings(self, patterns: Sequence[str] | None = None) -> DataFrame:
+    def _postings(self, state: Manifest, segments: Sequence[Segment], places: bool = True, only: Callable[[Segment, DataFrame], DataFrame] = lambda s, d: d) -> DataFrame:
+        ship(self.spark)
+        return self._read(state, "postings", segments, lambda s, d: _unpack(only(s, d), places))
+
+    def postings(self, patterns: Sequence[str] | None = None, places: bool = True) -> DataFrame:
         """Live (term, key, tf, len, places) of some terms; one that ends in * matches beginnings of two letters or more. All terms without patterns."""
         state = self.manifest()
         if patterns is None:
-            return self._read(state, "postings", state.segments).drop("folder")
+            return self._postings(state, state.segments, places)
         heads = self.spark.createDataFrame([(p.removesuffix("*")[:2],) for p in patterns], "b string")
         hashes = {r[0] for r in heads.select(_spread(F.col("b"))).collect()}
         asked = reduce(Column.__or__, [_match(F.col("term"), p) for p in patterns])
-        return self._read(state, "postings", state.segments, lambda s, d: d.where(F.col("folder").isin(sorted({h % s.folders for h in hashes}))).where(asked)).drop("folder")
+        return self._postings(state, state.segments, places, lambda s, d: d.where(F.col("folder").isin(sorted({h % s.folders for h in hashes}))).where(asked))
+
+    def tallies(self, state: Manifest) -> DataFrame:
+        """(term, docs, words): numbers of live documents and words, to be summed. Where nothing is dead, rows are counted as they are stored."""
+        if state.graves:
+            return self._postings(state, state.segments, places=False).select("term", F.lit(1).alias("docs"), F.col("tf").cast("long").alias("words"))
+        return self._read(state, "postings", state.segments).select("term", F.size("tf").alias("docs"), F.aggregate("tf", F.lit(0).cast("long"), lambda a, x: a + x).alias("words"))
 
     # Writing.
 
@@ -179,13 +192,14 @@ class WordIndex:
         held = texts.select("key", self.analyse(F.col("text")).alias("t"))
         ship(self.spark)
         key = texts.schema["key"].dataType.simpleString()
-        post = held.mapInArrow(_postings, f"term string, key {key}, tf int, len int, places array<int>")
+        post = held.mapInArrow(lambda batches: _packed(_postings(batches)), _pack_schema(key))
         self._write_postings(post, made)
         return made
 
     def _write_postings(self, post: DataFrame, made: Segment) -> None:
+        """Packed postings, dealt to the folders of a segment."""
         dealt = post.withColumn("folder", F.pmod(_spread(F.substring("term", 1, 2)), F.lit(made.folders)))
-        dealt.hint("rebalance", "folder").sortWithinPartitions("folder", "term").write.partitionBy("folder").parquet(f"{self.path}/segments/{made.name}/postings")
+        dealt.hint("rebalance", "folder").sortWithinPartitions("folder", "term").write.partitionBy("folder").option("compression", "zstd").parquet(f"{self.path}/segments/{made.name}/postings")
 
     def apply(self, changed: DataFrame | None, removed: DataFrame | None = None) -> Manifest:
         """Takes new and changed documents (key, text) and removed ones (key); one new segment, published with its graves."""
@@ -205,7 +219,7 @@ class WordIndex:
     def _counted(self, state: Manifest) -> Manifest:
         """The state with its numbers; without live documents, without segments."""
         docs = self._read(state, "docs", state.segments).count() if state.segments else 0
-        words = self._read(state, "postings", state.segments).agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0] if docs else 0
+        words = self.tallies(state).agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0] if docs else 0
         return replace(state, docs=docs, words=words) if docs else replace(state, segments=(), graves=(), docs=0, words=0)
 
     def _merged(self, state: Manifest) -> Manifest:
@@ -216,7 +230,8 @@ class WordIndex:
             if len(own) >= self.fanout:
                 made = Segment(uuid.uuid4().hex, max(s.seq for s in own), level + 1, max(s.folders for s in own))
                 self._read(state, "docs", own).write.parquet(f"{self.path}/segments/{made.name}/docs")
-                self._write_postings(self._read(state, "postings", own).drop("folder"), made)
+                live = self._postings(state, own).sortWithinPartitions("term")
+                self._write_postings(live.mapInArrow(_packed, _pack_schema(live.schema["key"].dataType.simpleString())), made)
                 rest = [s for s in state.segments if s not in own]
                 # Graves are for older rows; where none are left, those up to this merge have done their work.
                 graves = state.graves if any(s.seq < made.seq for s in rest) else tuple(g for g in state.graves if g[2] > made.seq)
@@ -269,6 +284,44 @@ def _postings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, names=["term", "key", "tf", "len", "places"])
 
 
+def _pack_schema(key: str) -> str:
+    return f"term string, key array<{key}>, tf array<int>, len array<int>, places array<int>"
+
+
+def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings that stand together by term, up to PACK in a row: (term, key, tf, len) with lists of one length, places of all one after another."""
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        code = batch.column("term").dictionary_encode().indices.to_numpy()
+        runs = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+        heads = np.flatnonzero((np.arange(n) - np.repeat(runs, np.diff(np.append(runs, n)))) % PACK == 0)
+        ends = np.append(heads, n).astype(np.int32)
+        at = np.append(0, np.cumsum(batch.column("tf").to_numpy()))[ends].astype(np.int32)
+        lists = [pa.ListArray.from_arrays(pa.array(ends), batch.column(x)) for x in ("key", "tf", "len")]
+        columns = [batch.column("term").take(pa.array(heads)), *lists, pa.ListArray.from_arrays(pa.array(at), batch.column("places").flatten())]
+        yield pa.RecordBatch.from_arrays(columns, names=["term", "key", "tf", "len", "places"])
+
+
+def _unpacked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The postings of packed rows."""
+    for batch in batches:
+        size = pc.list_value_length(batch.column("key")).to_numpy()
+        key, tf, length, places = (batch.column(x).flatten() for x in ("key", "tf", "len", "places"))
+        ends = np.append(0, np.cumsum(tf.to_numpy())).astype(np.int32)
+        columns = [batch.column("term").take(pa.array(np.repeat(np.arange(len(size)), size))), key, tf, length, pa.ListArray.from_arrays(pa.array(ends), places)]
+        yield pa.RecordBatch.from_arrays(columns, names=["term", "key", "tf", "len", "places"])
+
+
+def _unpack(packs: DataFrame, places: bool) -> DataFrame:
+    """(term, key, tf, len), and places where they are asked for."""
+    if not places:
+        return packs.select("term", F.inline(F.arrays_zip("key", "tf", "len")))
+    key = packs.schema["key"].dataType.elementType.simpleString()
+    return packs.select("term", "key", "tf", "len", "places").mapInArrow(_unpacked, f"term string, key {key}, tf int, len int, places array<int>")
+
+
 def _spread(beginning: Column) -> Column:
     """Terms of one beginning are together, so that a term asked for as a beginning is in one folder."""
     return F.pmod(F.xxhash64(beginning), F.lit(1 << 30)).cast("int")
@@ -292,7 +345,7 @@ def signature(docs: DataFrame) -> str:
 
 def ensure(docs: DataFrame, key: str, text: str, name: str, analyse: Callable[[Column], Column] = tokens) -> WordIndex:
     """The index of a state of the source files of docs, which is built where it is not there yet."""
-    index = WordIndex(docs.sparkSession, shared_path(docs.sparkSession, f"{name}-{signature(docs)}"), analyse)
+    index = WordIndex(docs.sparkSession, shared_path(docs.sparkSession, f"{name}-packed-{signature(docs)}"), analyse)
     if not index.manifest().version:
         try:
             index.apply(docs.select(F.col(key).alias("key"), F.col(text).alias("text")))
@@ -308,14 +361,15 @@ def unit_counts(index: WordIndex, units: Sequence[Sequence[str]]) -> DataFrame:
     A unit is one pattern or several words one after another, of which each may end in *. The posting lists of a longer unit meet
     by document, shifted by their place in it.
     """
-    post = index.postings(sorted({p for u in units for p in u}))
+    single = [u[0] for u in units if len(u) == 1]
+    post = index.postings(sorted(set(single)), places=False) if single else None
     parts = []
     for i, unit in enumerate(units):
         if len(unit) == 1:
             parts.append(post.where(_match(F.col("term"), unit[0])).groupBy("key", "len").agg(F.sum("tf").alias("tf")).withColumn("unit", F.lit(i)))
             continue
         place = F.array(*[F.when(_match(F.col("term"), p), F.struct(F.lit(j).alias("j"), F.transform("places", _back(j)).alias("at"))) for j, p in enumerate(unit)])
-        lists = post.select("key", "len", F.inline(F.array_compact(place)))
+        lists = index.postings(sorted(set(unit))).select("key", "len", F.inline(F.array_compact(place)))
         # Terms of one beginning are one list; a place holds one term, so nothing is counted twice.
         lists = lists.groupBy("key", "len", "j").agg(F.flatten(F.collect_list("at")).alias("at")).groupBy("key", "len").agg(F.collect_list("at").alias("lists"))
         met = F.aggregate(F.slice("lists", 2, len(unit)), F.get("lists", F.lit(0)), lambda a, x: F.array_intersect(a, x))
@@ -375,8 +429,8 @@ def phrase(index: WordIndex, words: Sequence[str], key: str) -> DataFrame:
 
 def vocabulary(index: WordIndex) -> DataFrame:
     """(term, df, n): documents of each term, and of the table."""
-    rows = index.postings().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return rows.withColumn("n", F.lit(index.manifest().docs))
+    state = index.manifest()
+    return index.tallies(state).groupBy("term").agg(F.sum("docs").alias("df")).withColumn("n", F.lit(state.docs))
 
 
 def roll_up(hits: DataFrame, group: str, score: str, key: str, own: DataFrame) -> DataFrame:

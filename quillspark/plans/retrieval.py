@@ -52,7 +52,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id FROM documents WHERE len(list_filter({TOKENS}, lambda t: starts_with(t, 'thend'))) > 0")
 def prefix_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _index(spark, sf_dir).postings(["thend*"]).select(F.col("key").alias("doc_id")).distinct()
+    return _index(spark, sf_dir).postings(["thend*"], places=False).select(F.col("key").alias("doc_id")).distinct()
 
 
 @query(f"SELECT doc_id FROM documents WHERE contains(' ' || array_to_string({TOKENS}, ' ') || ' ', ' of the ')")

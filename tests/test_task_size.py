@@ -73,3 +73,29 @@ def test_words_of_many_documents_leave_a_task_term_by_term():
     assert terms == sorted(terms, key=terms.index)
     got = [(r["term"], r["key"], r["tf"], r["len"], r["places"]) for r in rows]
     assert got == [("the", 7, 2, 3, [0, 2]), ("the", 3, 1, 3, [1]), ("the", 5, 1, 4, [2]), ("sea", 7, 1, 3, [1]), ("sea", 3, 1, 3, [2]), ("sea", 5, 2, 4, [0, 3]), ("of", 3, 1, 3, [0]), ("of", 5, 1, 4, [1])]
+
+
+def test_postings_of_a_term_are_shuffled_and_stored_together(spark, tmp_path):
+    from quillspark.operators import search_index as X
+
+    docs = spark.range(0, 1000, 1, 2).select(F.col("id").alias("key"), F.when(F.col("id") % 10 != 0, F.concat(F.lit("the sea the "), "id")).alias("text"))
+    index = X.WordIndex(spark, f"{tmp_path}/i")
+    state = index.apply(docs)
+    stored = spark.read.parquet(f"{tmp_path}/i/segments/{state.segments[0].name}/postings")
+    # Two tasks, 450 documents of a word in each, and 900 words of one document.
+    assert stored.where("term in ('the', 'sea')").count() == 2 * 2 * -(-450 // X.PACK) and stored.count() == 8 + 900
+    assert (state.docs, state.words) == (1000, 3600)
+    want = sorted([("the", k, 2, 4, [0, 2]) for k in range(1000) if k % 10] + [("sea", k, 1, 4, [1]) for k in range(1000) if k % 10])
+    assert sorted(map(tuple, index.postings(["the", "sea"]).collect())) == want
+    assert sorted(map(tuple, index.postings(["the", "sea"], places=False).collect())) == [w[:4] for w in want]
+    counts = lambda: {r["term"]: r["df"] for r in X.vocabulary(index).where("term in ('the', 'sea', '7')").collect()}
+    assert counts() == {"the": 900, "sea": 900, "7": 1}
+    # Single postings of a row die.
+    state = index.apply(None, spark.createDataFrame([(7,), (8,)], "key long"))
+    assert (state.docs, state.words) == (998, 3592) and counts() == {"the": 898, "sea": 898}
+    for k in (2001, 2002, 2003):
+        state = index.apply(spark.createDataFrame([(k, "the sea")], "key long, text string"))
+    assert [s.level for s in state.segments] == [1] and not state.graves
+    assert counts() == {"the": 901, "sea": 901} and index.postings(["7"]).count() == 0
+    merged = spark.read.parquet(f"{tmp_path}/i/segments/{state.segments[0].name}/postings").where("term = 'the'")
+    assert merged.count() < 30
