@@ -66,6 +66,15 @@ def test_split_shots(spark, small):
     assert not whole
 
 
+def test_motion_of_equal_orders_is_equal(spark, tmp_path):
+    """The lines of this order lie on a tie, and the class depends on the order in which they are added."""
+    lines = [(3, 19.0, 0.07, 0.06), (6, 49.0, 0.01, 0.08), (7, 23.0, 0.02, 0.0)]
+    rows = [(k, *line) for k in range(300) for line in lines]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_quantity double, l_discount double, l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = QUERIES["motion_classes"](spark, str(tmp_path)).groupBy("motion", "stability").count().collect()
+    assert [(r["motion"], r["count"]) for r in got] == [("pan_right", 300)]
+
+
 def test_filled_slots(spark, small):
     rows = {(r["l_orderkey"], r["l_linenumber"], r["l_quantity"], r["l_discount"]) for r in load(spark, small, "lineitem").collect()}
     want = defaultdict(list)
