@@ -1,11 +1,13 @@
 """Queries of shots, cues, boxes and passages that no SQL states, against plain loops over all rows."""
 
+import random
 from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import search_words as W
+from quillspark.operators import shots as S
 from quillspark.plans import search as search_plans
 from quillspark.plans import shots as plans
 from quillspark.plans.registry import QUERIES, load
@@ -66,6 +68,40 @@ def test_split_shots(spark, small):
     assert not whole
 
 
+def plain_parts(words, frames):
+    """The parts of a recording by plain loops over all words."""
+    s, e = min(a for a, _ in words), max(b for _, b in words)
+    bounds, count = [s], max(2, round((e - s) / 20)) if e - s > 30 else 1
+    for i in range(1, count):
+        ideal = s + i * ((e - s) / count)
+        near = [t for t in frames if abs(t - ideal) <= 0.25 * ((e - s) / count)]
+        cut = min(near, key=lambda t: abs(t - ideal)) if near else ideal
+        low, high = bounds[-1] + 4, e - 4 * (count - i)
+        inside = [w for w in sorted(words) if w[0] < cut < w[1]][:1]
+        edges = [t for w in inside for t in w if low <= t <= high and abs(t - cut) <= 3]
+        bounds.append(min(max(min(edges, key=lambda t: abs(t - cut), default=cut), low), high))
+    return [*zip(bounds, [*bounds[1:], e], strict=True)]
+
+
+def test_spoken_shots_equal_plain_loops(spark):
+    """Words that overlap, long ones that leave no place, silence, short recordings; some words a row."""
+    rng, rows, want = random.Random(5), [], {}
+    for k in [None, *range(40)]:
+        t, words, frames = rng.random(), [], sorted(rng.uniform(0, 300) for _ in range(rng.choice([0, 3, 30])))
+        for _ in range(rng.choice([1, 20, 60, 400])):
+            words.append((t, t + rng.choice([0.2, 0.7, 2.5, 9.0])))
+            t += rng.choice([0.1, 0.6, 0.6, 4.0])
+        want[k], at = plain_parts(words, frames), 0
+        while at < len(words):
+            n = rng.choice([0, 1, 5, 64])
+            rows.append((k, len(rows), [a for a, _ in words[at : at + n]], [b for _, b in words[at : at + n]], None if at else frames))
+            at += n
+    assert any(len(p) > 10 for p in want.values()) and any(len(p) == 1 for p in want.values())
+    df = spark.createDataFrame(rows, "k int, i int, s array<double>, e array<double>, frames array<double>").repartition(5)
+    got = groups(S.split_spoken(df, ["k"], "i", "s", "e", "frames").collect(), "k")
+    assert {k: [(r["a"], r["b"]) for r in sorted(g, key=lambda r: r["part"])] for (k,), g in got.items()} == want
+
+
 def test_motion_of_equal_orders_is_equal(spark, tmp_path):
     """The lines of this order lie on a tie, and the class depends on the order in which they are added."""
     lines = [(3, 19.0, 0.07, 0.06), (6, 49.0, 0.01, 0.08), (7, 23.0, 0.02, 0.0)]

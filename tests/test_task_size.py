@@ -41,6 +41,16 @@ def test_spoken_words_are_in_time_and_not_sorted(spark, tmp_path):
     assert "Sort [" in shown and "Sort [" not in shown[: shown.index("Window")] and "inline" in shown[: shown.index("Window")]
 
 
+def test_spoken_shots_read_runs_of_words(spark, small):
+    """No conversation is gathered in one row: ten thousand of them would be one batch, and each word an object of Python."""
+    from quillspark.plans.registry import QUERIES
+
+    shown = plan(QUERIES["split_spoken_shots"](spark, small))
+    assert "MapInArrow" in shown and not re.search("collect_list|Generate inline", shown)
+    # One shuffle, of the texts.
+    assert len(re.findall(r"Exchange hashpartitioning", shown)) == 1
+
+
 def test_words_are_counted_without_a_shuffle_or_a_sort(spark, tmp_path, monkeypatch):
     from quillspark.operators import search_index as X
 
